@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
 from .license_scan import license_scan
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .token_counts import token_counts
 
 
@@ -24,10 +26,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def learnable(id_col: str = "doc_id"):
+    """Rows that may be learnt from: those that are not held out."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(table(spark, sf_dir, "documents"), learnable())
+    return found.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_bpe, op3_token_counts, op7_exact_dedup, op9_mix_sources, op10_license_scan)
+        for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op7_exact_dedup, op9_mix_sources, op10_license_scan)
     }
 
 
