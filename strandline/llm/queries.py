@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .language_id import identify_languages
 from .license_scan import license_scan
 from .mixing import mix_sources
@@ -44,10 +46,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -60,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op7_exact_dedup, op9_mix_sources, op10_license_scan)
+        for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op6_html_text, op7_exact_dedup, op8_nearest, op9_mix_sources, op10_license_scan)
     }
 
 
