@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _removable(long: str, short: str) -> range:
@@ -59,7 +60,7 @@ def describe(query: str, matched: str) -> str:
     return ", ".join(shown) if shown else "[]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _describe(query: pd.Series, matched: pd.Series) -> pd.Series:
     return pd.Series([None if m is None else describe(q, m) for q, m in zip(query, matched, strict=True)], dtype=object)
 

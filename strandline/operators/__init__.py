@@ -1 +1 @@
-
+"""Column and table operators of the search."""

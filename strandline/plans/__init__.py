@@ -1 +1 @@
-
+"""Planning and the search facade."""

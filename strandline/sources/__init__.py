@@ -1 +1 @@
-
+"""Where sequences, queries and indexes come from, and where results go."""

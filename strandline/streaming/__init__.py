@@ -1 +1 @@
-
+"""Stream-static search."""
