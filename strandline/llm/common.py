@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a compressed table in the shared folder, and read back: for rows with texts."""
+    spark = df.sparkSession
+    checkpoint(spark.range(1))  # makes sure that the folder is set
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values in one array, and the n + 1 offsets of the values; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

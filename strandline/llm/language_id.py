@@ -174,10 +174,13 @@ def identify_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     sample: int = SAMPLE,
+    carry: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, lang_pred, score, languages (chosen set with proportions).
 
     `training`: which rows may be learnt from (all labelled ones if None).
+    `carry`: instead of doc_id all columns of `docs` as they are, then lang_pred
+    and score (which replace columns of these names).
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -190,10 +193,20 @@ def identify_languages(
         langs, table = model.value
         for block in blocks(batches, "text"):
             lang, score, shares = predict_block(block.column("text"), langs, table)
+            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.string())],
-                names=["doc_id", "lang_pred", "score", "languages"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+                [*(block.column(c) for c in names), *found], names=[*names, "lang_pred", "score", "languages"]
+            )
+
+    if not carry:
+        names = ["doc_id"]
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+        return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+    # any column names go through the map under numbers
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    rows = rows.select("*", F.col(names[docs.columns.index(text_col)]).cast("string").alias("text"))
+    out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, languages string")
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c not in ("lang_pred", "score")]
+    return out.select(*[F.col(n).alias(c) for n, c in kept], "lang_pred", "score")

@@ -14,6 +14,7 @@ from .language_id import identify_languages
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -46,6 +47,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -68,10 +73,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
-        f.__name__: f
-        for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op6_html_text, op7_exact_dedup, op8_nearest, op9_mix_sources, op10_license_scan)
-    }
+    listed = (
+        op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op5_suffix_dedup, op6_html_text, op7_exact_dedup,
+        op8_nearest, op9_mix_sources, op10_license_scan,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
