@@ -9,6 +9,7 @@ lets Parquet statistics skip row groups; each k is its own table.
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import metadata
 from ..operators.kmers import kmers
 from .fasta import read_fasta
-from .queries import exists
+from .queries import exists, resolved
 
 
 def fingerprint(proteins: DataFrame) -> str:
@@ -31,7 +32,10 @@ class ProteinIndex:
     """Tables of one proteome; built where missing."""
 
     def __init__(self, spark: SparkSession, proteome: str, folder: str = ".", name: str = ""):
-        if not exists(spark, str(proteome)):
+        if os.path.exists(str(proteome)) and "://" not in str(folder):
+            folder = os.path.abspath(folder)
+        proteome = resolved(proteome)
+        if not exists(spark, proteome):
             raise FileNotFoundError(f"Proteome file not found: {proteome}")
         self.spark, self.name = spark, name or Path(str(proteome)).stem
         source = read_fasta(spark, str(proteome))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def resolved(path) -> str:
+    """A relative path that exists here, made absolute: the JVM may have another working folder."""
+    return os.path.abspath(path) if os.path.exists(str(path)) else str(path)
+
+
 def read_queries(spark: SparkSession, query) -> DataFrame:
     """ordinal, query_id, query_seq (upper case).
 
@@ -33,7 +39,7 @@ def read_queries(spark: SparkSession, query) -> DataFrame:
         return spark.createDataFrame(order, SCHEMA)
     if isinstance(query, (list, tuple)):
         return spark.createDataFrame([(i, str(i), s.upper()) for i, s in enumerate(query, 1)], SCHEMA)
-    path = str(query)
+    path = resolved(query)
     if not exists(spark, path):
         raise FileNotFoundError(f"Query file not found: {query}")
     suffix = Path(path).suffix.lower()
