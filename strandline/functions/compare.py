@@ -15,13 +15,18 @@ def part(s: Column, start, size) -> Column:
     return F.substring(s, start + 1, F.lit(size) if isinstance(size, int) else size)
 
 
-def hamming(a: Column, b: Column, longest: int) -> Column:
-    """Number of differing bytes of two binaries of equal length (`longest` at most)."""
+def hamming(s: Column, start: Column, q: Column, size: Column, longest: int) -> Column:
+    """Number of bytes in which q differs from the `size` (at most `longest`) bytes of s from `start` on.
+
+    Bytes are read from the sequence in place: a window cut out first would be
+    inlined into every term.
+    """
     if longest <= UNROLL:
-        terms = [F.when(part(a, i, 1) == part(b, i, 1), 0).otherwise(1) for i in range(longest)]
-        return sum(terms[1:], terms[0])  # beyond the end both parts are empty and equal
-    places = F.sequence(F.lit(1), F.octet_length(a))
-    return F.size(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+        same = lambda i: part(s, start + i, 1) == part(q, i, 1)
+        terms = [F.when((size <= i) | same(i), 0).otherwise(1) for i in range(longest)]
+        return sum(terms[1:], terms[0]) if terms else F.lit(0)
+    places = F.sequence(F.lit(0), size - 1)
+    return F.size(F.filter(places, lambda i: part(s, start + i, 1) != part(q, i, 1)))
 
 
 def mutated_positions(a: Column, b: Column) -> Column:

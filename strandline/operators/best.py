@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import seeds, windows
-from .search import QueryStats, _hits, _windowed, mismatch_hits
-from ..functions.compare import hamming, part
+from .search import QueryStats, _hits, candidates, mismatch_hits, within
 
 
 def ladder_lengths(shortest: int) -> list[int]:
@@ -62,8 +60,7 @@ def closest_hits(proteins: DataFrame, queries: DataFrame) -> DataFrame:
     One job, for batches of few short queries; the ladder does less work when most match early.
     """
     stats = QueryStats.of(queries)
-    found = windows(proteins, 2).withColumn("kmer", part(F.col("seq"), F.col("pos"), 2).cast("string"))
-    found = _windowed(found.join(F.broadcast(seeds(queries, 2, "tiled")), "kmer").drop("kmer"))
-    found = _hits(found.withColumn("edits", hamming(F.col("w"), F.col("q"), stats.longest)), F.col("edits"))
+    found = within(candidates(proteins, queries, 2, "tiled", stats), 2, None, stats.longest)
+    found = _hits(found, F.col("edits"))
     least = found.groupBy("ordinal").agg(F.min("edits").alias("edits"))
-    return found.join(F.broadcast(least), ["ordinal", "edits"]).dropDuplicates(["ordinal", "protein_num", "start"])
+    return found.join(F.broadcast(least) if stats.seeds_fit(1) else least, ["ordinal", "edits"])

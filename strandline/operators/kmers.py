@@ -16,8 +16,9 @@ def windows(proteins: DataFrame, k: int) -> DataFrame:
     generated stage, so a row is only made for what the probe lets through.
     """
     rows = spread(proteins.select("protein_num", F.col("sequence").cast("binary").alias("seq")))
-    rows = rows.filter(F.octet_length("seq") >= k)
-    return rows.select("protein_num", "seq", F.explode(F.sequence(F.lit(0), F.octet_length("seq") - k)).alias("pos"))
+    last = F.octet_length("seq") - k  # no filter on it: one would repeat what made the sequence
+    places = F.when(last >= 0, F.sequence(F.lit(0), last))
+    return rows.select("protein_num", "seq", F.explode(places).alias("pos"))
 
 
 def kmers(proteins: DataFrame, k: int) -> DataFrame:

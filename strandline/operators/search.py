@@ -2,9 +2,8 @@
 
 Two physical forms give the same candidates.  With few queries (their size is
 checked) the seeds are broadcast and the scan of the sequences explodes, probes
-and verifies in one stage; only verified hits are shuffled, to drop those found
-from several seeds.  With many queries, or a stored k-mer table, narrow k-mer
-rows are joined to the seeds by shuffle, candidates are made distinct, and the
+and verifies in one stage without any shuffle.  With many queries, or a stored
+k-mer table, narrow k-mer rows are joined to the seeds by shuffle and the
 sequences are joined back for verification.
 
 Hits have: ordinal, protein_num, start (from 0), matched, edits.
@@ -58,7 +57,7 @@ def candidates(
 
 
 def _windowed(found: DataFrame) -> DataFrame:
-    """Candidate windows that lie inside their sequence."""
+    """Candidate windows (`start`, `w`) that lie inside their sequence."""
     found = found.withColumn("start", F.col("pos") - F.col("at"))
     inside = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.octet_length("seq"))
     return found.filter(inside).withColumn("w", F.substring("seq", F.col("start") + 1, F.col("len")))
@@ -68,6 +67,21 @@ def _hits(found: DataFrame, edits: Column) -> DataFrame:
     return found.select("ordinal", "protein_num", "start", F.col("w").cast("string").alias("matched"), edits.cast("long").alias("edits"))
 
 
+def within(found: DataFrame, k: int, budget: int | None, longest: int) -> DataFrame:
+    """Windows with `edits` within the budget, each once.
+
+    A window is kept for the first of its query's seeds that stands in place.
+    That is decided from the row itself, after the count of differences, so the
+    few rows left need no shuffle to become distinct.
+    """
+    edits = hamming(F.col("seq"), F.col("start"), F.col("q"), F.col("len"), longest)
+    step = F.when(F.col("len") % k == 0, k).otherwise(1)
+    before = F.when(F.col("at") > 0, F.sequence(F.lit(0), F.col("at") - step, step)).otherwise(F.array().cast("array<int>"))
+    again = F.exists(before, lambda o: part(F.col("seq"), F.col("start") + o, k) == part(F.col("q"), o, k))
+    found = _windowed(found).withColumn("edits", edits)
+    return found.filter(~again if budget is None else (F.col("edits") <= budget) & ~again)
+
+
 def exact_hits(proteins: DataFrame, queries: DataFrame, k: int, stats: QueryStats | None = None, index: DataFrame | None = None) -> DataFrame:
     """Every place where a query stands: one candidate each, from its first k-mer, so nothing to make distinct."""
     stats = stats or QueryStats.of(queries)
@@ -95,9 +109,8 @@ def mismatch_hits(
     if budget == 0:
         return exact_hits(proteins, queries, k, stats, index)
     stats = stats or QueryStats.of(queries)
-    found = _windowed(candidates(proteins, queries, k, "tiled", stats, index))
-    found = found.withColumn("edits", hamming(F.col("w"), F.col("q"), stats.longest)).filter(F.col("edits") <= budget)
-    return _hits(found, F.col("edits")).dropDuplicates(["ordinal", "protein_num", "start"])
+    found = within(candidates(proteins, queries, k, "tiled", stats, index), k, budget, stats.longest)
+    return _hits(found, F.col("edits"))
 
 
 def _splits(budget: int) -> Column:

@@ -59,12 +59,13 @@ def scan_hits(proteins: DataFrame, queries: DataFrame, budget: int) -> DataFrame
     rows = spread(proteins.select("protein_num", F.col("sequence").cast("binary").alias("seq")))
     rows = rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.octet_length("seq") >= F.col("size"))
     rows = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.octet_length("seq") - F.col("size"))))
-    rows = rows.select("protein_num", "start", F.col("size"), F.substring("seq", F.col("start") + 1, F.col("size")).alias("w"))
+    rows = rows.withColumn("w", F.substring("seq", F.col("start") + 1, F.col("size")))
     q = queries.select("ordinal", F.col("query_seq").cast("binary").alias("q"))
     q = F.broadcast(q) if stats.seeds_fit(1) else q
     if budget == 0:
         found = rows.join(q, F.col("w") == F.col("q")).withColumn("edits", F.lit(0))
     else:
         found = rows.join(q, F.col("size") == F.octet_length("q"))
-        found = found.withColumn("edits", hamming(F.col("w"), F.col("q"), stats.longest)).filter(F.col("edits") <= budget)
+        edits = hamming(F.col("seq"), F.col("start"), F.col("q"), F.col("size"), stats.longest)
+        found = found.withColumn("edits", edits).filter(F.col("edits") <= budget)
     return found.select("ordinal", "protein_num", "start", F.col("w").cast("string").alias("matched"), F.col("edits").cast("long").alias("edits"))

@@ -27,6 +27,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     One small file is one split, and what follows (k-mers) is far more work than the input.
     """
+    if df.isStreaming:
+        return df
     context = df.sparkSession.sparkContext
     cores = context.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

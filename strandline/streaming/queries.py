@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.results import substitution_rows
-from ..operators.search import mismatch_hits
+from ..operators.search import QueryStats, _hits, candidates, mismatch_hits, within
 from ..plans.planner import auto_k
-from ..operators.search import QueryStats
 
 QUERY_SCHEMA = "ordinal long, query_id string, query_seq string"
 
@@ -50,25 +49,13 @@ def search_queries(
 def watch_sequences(stream: DataFrame, queries: DataFrame, k: int = 0, max_mismatches: int = 0) -> DataFrame:
     """Hits of fixed queries in arriving sequences (protein_num, sequence), as a stream in append mode.
 
-    The seeds are broadcast; hits found from several seeds are removed within
-    the sequence by the smallest seed offset that stands, so no state is kept.
+    The seeds are broadcast and a hit is kept for its first standing seed only,
+    so the plan is map-only and keeps no state.
     """
-    from ..functions.compare import hamming, part
-    from ..operators.kmers import seeds
-
     stats = QueryStats.of(queries)
     k = k or auto_k(stats.shortest, max_mismatches)
-    seq = F.col("sequence").cast("binary")
-    rows = stream.select("protein_num", seq.alias("seq")).filter(F.octet_length("seq") >= k)
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.octet_length("seq") - k)))
-    rows = rows.withColumn("kmer", part(F.col("seq"), F.col("pos"), k).cast("string"))
-    probes = seeds(queries, k, "tiled" if max_mismatches else "first")
-    probes = F.broadcast(probes) if stats.seeds_fit(max(1, stats.longest)) else probes
-    found = rows.join(probes, "kmer").withColumn("start", F.col("pos") - F.col("at"))
-    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.octet_length("seq")))
-    found = found.withColumn("w", F.substring("seq", F.col("start") + 1, F.col("len")))
-    step = F.when(F.col("len") % k == 0, k).otherwise(1)
-    earlier = F.when(F.col("at") > 0, F.sequence(F.lit(0), F.col("at") - step, step)).otherwise(F.array().cast("array<int>"))
-    again = F.exists(earlier, lambda o: F.substring("w", o + 1, F.lit(k)) == F.substring("q", o + 1, F.lit(k)))
-    found = found.withColumn("edits", hamming(F.col("w"), F.col("q"), stats.longest)).filter((F.col("edits") <= max_mismatches) & ~again)
-    return found.select("ordinal", "protein_num", "start", F.col("w").cast("string").alias("matched"), F.col("edits").cast("long").alias("edits"))
+    regime = "tiled" if max_mismatches else "first"
+    if not stats.seeds_fit(max(1, stats.longest)):
+        raise ValueError("too many queries to broadcast to every micro-batch")
+    found = candidates(stream, queries, k, regime, stats)
+    return _hits(within(found, k, max_mismatches, stats.longest), F.col("edits"))
