@@ -30,8 +30,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learnable(id_col: str = "doc_id"):
-    """Rows that may be learnt from: those that are not held out."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0
+    """Rows that may be learnt from: those that are not held out (rows without an id are)."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
