@@ -13,7 +13,8 @@ where it stands:
     anchor hashes leaves the few segments that can.  Equal segments are one from
     there on, with their number as weight (combined map-side), so copies in any
     number cost one segment.
-3.  The distinct segments of an anchor meet in one shard of about SHARD bytes.
+3.  The distinct segments of an anchor meet in one shard of about SHARD bytes
+    (an anchor with a single one needs no comparison).
     An anchor with more than HOT distinct segments is dealt again: its segments
     are cut by a second choice of anchor inside each string (another hash), and
     so on, so no anchor's segments need fit into one task.
@@ -286,16 +287,18 @@ def suffix_dedup(
         .agg(F.count("*").alias("w"), F.min(F.struct("id", "th", "s", "c")).alias("one"))
         .select("f", "g", "w", "one.*")
     )
-    holders = places.select("id", "th").distinct()
-    texts = stored(rows.join(holders, ["id", "th"], "left_semi").select("id", "th", "text"))
-
-    listed = distinct.groupBy("id", "th").agg(F.collect_list(F.struct("s", "c", "f", "g", "w")).alias("listed"))
-    parts = texts.join(listed, ["id", "th"]).select("text", "listed")
+    # an anchor with one distinct segment has nothing to compare it with: its weight (2 at least) says it all
+    crowded = distinct.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
+    crowded = checkpoint(crowded)
+    alone = distinct.join(crowded, "f", "left_anti").select("f", "g", F.array(F.lit(0)).alias("a"), F.array("c").alias("z"))
+    compared = distinct.join(crowded, "f", "left_semi")
+    listed = compared.groupBy("id", "th").agg(F.collect_list(F.struct("s", "c", "f", "g", "w")).alias("listed"))
+    parts = rows.select("id", "th", "text").join(listed, ["id", "th"]).select("text", "listed")
     parts = stored(parts.mapInArrow(_bytes_of(length), "f long, g long, w long, bytes binary"))
-    solved = stored(_solve(parts, length))
+    solved = _solve(parts, length).unionByName(alone)
 
     found = places.join(solved, ["f", "g"]).groupBy("id", "th").agg(F.collect_set(F.struct("s", "a", "z")).alias("found"))
-    left = texts.join(found, ["id", "th"]).select("id", "th", "text", "found")
+    left = rows.join(found, ["id", "th"]).select("id", "th", "text", "found")
     left = left.mapInArrow(_kept(length), "id long, th long, n_removed long, n_spans long, kept binary")
     left = left.withColumn("kept_sha", F.sha2("kept", 256))
     left = (left if outputs else left.drop("kept")).dropDuplicates(["id", "th"])
