@@ -259,48 +259,48 @@ def sort_names(text: list[int], symbols: int) -> list[int]:
     n = len(text)
     if n == 1:
         return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    sizes = np.bincount(text, minlength=symbols)
-    stops = np.cumsum(sizes).tolist()
-    starts = [z - s for z, s in zip(stops, sizes.tolist(), strict=True)]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(seeds: list[int]) -> list[int]:
-        order, tail = [-1] * n, stops.copy()
+    array = np.array(text)
+    small = types(array)
+    stops = np.cumsum(np.bincount(array, minlength=symbols)).tolist()
+    starts = [0, *stops[:-1]]
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # the left neighbour's symbol if it is of the larger (smaller) type, else -1; n stands for an empty place
+    left = np.append(-1, array[:-1])
+    kind = np.append(True, small[:-1])
+    to_large = np.append(np.where(kind, -1, left), -1).tolist()
+    to_small = np.append(np.where(kind, left, -1), -1).tolist()
+
+    def induce(seeds: list[int]) -> np.ndarray:
+        order, tail = [n] * n, stops.copy()
         for i in reversed(seeds):
             c = text[i]
             tail[c] -= 1
             order[tail[c]] = i
         head = starts.copy()
-        for r in range(n):
-            i = order[r] - 1
-            if i >= 0 and not small[i]:
-                c = text[i]
-                order[head[c]] = i
-                head[c] += 1
+        for i in order:  # entries pushed ahead are met later on
+            c = to_large[i]
+            if c >= 0:
+                at = head[c]
+                order[at] = i - 1
+                head[c] = at + 1
         tail = stops.copy()
-        for r in range(n - 1, -1, -1):
-            i = order[r] - 1
-            if i >= 0 and small[i]:
-                c = text[i]
-                tail[c] -= 1
-                order[tail[c]] = i
-        return order
-
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    order = induce(lms)
-    order[0] = n - 1
-    sorted_lms = [i for i in order if i >= 0 and is_lms[i]]
-    names, count = _names(np.array(text), np.array(lms), np.array(sorted_lms))
+        for i in reversed(order):
+            c = to_small[i]
+            if c >= 0:
+                at = tail[c] - 1
+                order[at] = i - 1
+                tail[c] = at
+        order[0] = n - 1
+        return np.array(order)
+
+    is_lms = np.zeros(n + 1, bool)
+    is_lms[lms] = True
+    order = induce(lms.tolist())
+    sorted_lms = order[is_lms[order]]
+    names, count = _names(array, lms, sorted_lms)
     if count < len(lms):
-        sorted_lms = [lms[i] for i in sort_names(names.tolist(), count)]
-    order = induce(sorted_lms)
-    order[0] = n - 1
-    return order
+        sorted_lms = lms[np.array(sort_names(names.tolist(), count))]
+    return induce(sorted_lms.tolist()).tolist()
 
 
 def suffix_array(text: np.ndarray, buckets: int, cap: int = 200, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from .common import _BASE, _BYTES, _INVERSE, _powers, blocks, checkpoint, flat,
 from .induced_sort import suffix_array
 
 GRAM = 32
-SHARD = 2 << 20
+SHARD = 512 << 10
 HOT = 20_000
 DEPTH = 12
 _PLACE = 28  # bits of an order key that hold the position
