@@ -33,7 +33,7 @@ QUERIES = 1024
 WIDTH = 2.0  # of a window, in radii
 SHARE = 0.6
 #: Distances lie between 0 and 2 once scaled.
-RADII = 0.3 * 1.2 ** np.arange(11)
+RADII = np.array([0.25, 0.5, 0.75, 0.95, 1.1, 1.25, 1.4, 1.6, 1.8, 2.0])
 
 
 def _search(k: int, scale: float):
@@ -90,6 +90,9 @@ def _search(k: int, scale: float):
             if found:
                 place = np.concatenate([f[0] for f in found])
                 score = np.concatenate([f[1] for f in found])
+                if len(score) > k:  # the k best and whatever ties with the last
+                    good = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    place, score = place[good], score[good]
                 top = np.lexsort((ids[place], -score))[:k]
                 out.append((np.full(len(top), i), place[top], score[top]))
         if not out:
