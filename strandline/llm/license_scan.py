@@ -7,8 +7,8 @@ are written per family and expanded by a few templates (several hundred in all).
 
 1.  One literal test (the alternation of all keywords) passes on the few
     documents that can match at all; the others cost no more than that.
-2.  Of those, the keywords found in a document pick the rules to run (a join of
-    its keyword list with the rule table, which is a constant of fixed size).
+2.  Of those, the keywords found in a document pick the rules to run; the rule
+    table is a constant of the plan.  There is one scan and no join.
 3.  Each rule gives its matches as word intervals.
 4.  Overlapping detections are resolved: an interval contained in one of
     higher priority (or of the same priority and larger, or equal and earlier
@@ -22,6 +22,7 @@ Rows are told apart by position, so repeated ids keep a row each.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -216,7 +217,6 @@ def _intervals(norm: Column, pattern: Column) -> Column:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    spark = docs.sparkSession
     listed = rules()
     keys = keywords()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -230,14 +230,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(gated, _lower(F.col("norm"))).alias("norm"),
     )
 
-    # rules by keyword, a constant map: a document runs those whose keyword it holds
-    by_key = {k: [r for r in listed if r.keyword == k] for k in keys}
-    kind = "struct<ord:int,label:string,priority:int,confidence:double,pattern:string>"
-    constant = spark.createDataFrame(
-        [([(k, [(r.order, r.label, r.priority, r.confidence, r.pattern) for r in own]) for k, own in by_key.items()],)],
-        f"by_key array<struct<keyword:string,rules:array<{kind}>>>",
-    )  # one row
-    present = F.filter(F.col("by_key"), lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k["keyword"], F.lit(" "))))
+    # rules by keyword, a constant of the plan: a document runs those whose keyword it holds
+    by_key = [
+        {"keyword": k, "rules": [
+            {"ord": r.order, "label": r.label, "priority": r.priority, "confidence": r.confidence, "pattern": r.pattern}
+            for r in listed if r.keyword == k
+        ]}
+        for k in keys
+    ]
+    constant = F.from_json(F.lit(json.dumps(by_key)), f"array<struct<keyword:string,rules:array<{_RULE}>>>")
+    present = F.filter(constant, lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k["keyword"], F.lit(" "))))
     chosen = F.flatten(F.transform(present, lambda k: k["rules"]))
     found = F.flatten(
         F.transform(
@@ -255,7 +257,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.flatten(
         F.array(*[F.transform(_intervals(F.col("norm"), F.lit(p)), named(label)) for p, label in BASE.items()])
     )
-    hit = scanned.filter("norm is not null").join(F.broadcast(constant)).select("doc_id", "n_words", found.alias("found"), base.alias("base"))
+    open_row = F.col("norm").isNotNull()
+    hit = scanned.select(
+        "doc_id", "n_words",
+        F.when(open_row, found).otherwise(F.array().cast(_FOUND)).alias("found"),
+        F.when(open_row, base).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"),
+    )
     covers = lambda a, b: (  # noqa: E731  a suppresses b
         (a["start"] <= b["start"]) & (a["stop"] >= b["stop"]) & (a["ord"] != b["ord"])
         & ((a["priority"] > b["priority"])
@@ -265,17 +272,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     kept = F.filter(F.col("found"), lambda b: ~F.exists(F.col("found"), lambda a: covers(a, b)))
     hit = hit.select("doc_id", "n_words", "base", kept.alias("detections"))
-    return hit.select(*_columns(F.col("base"), F.col("detections"))).unionByName(
-        scanned.filter("norm is null").select(
-            "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"),
-            F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
-            F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
-            F.array().cast(_DETECTION).alias("detections"),
-        )
-    )
+    return hit.select(*_columns(F.col("base"), F.col("detections")))
 
 
-_DETECTION = "array<struct<start:bigint,stop:bigint,priority:int,ord:int,label:string,confidence:double>>"
+_RULE = "struct<ord:int,label:string,priority:int,confidence:double,pattern:string>"
+_FOUND = "array<struct<start:bigint,stop:bigint,priority:int,ord:int,label:string,confidence:double>>"
 
 
 def _columns(base: Column, kept: Column) -> list:
@@ -288,5 +289,5 @@ def _columns(base: Column, kept: Column) -> list:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(own).alias("base_labels"),
         joined(F.concat(own, F.transform(kept, lambda m: m["label"]))).alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(best).alias("score"), kept.cast(_DETECTION).alias("detections"),
+        F.when(F.size(base) > 0, 1.0).otherwise(best).alias("score"), kept.cast(_FOUND).alias("detections"),
     ]
