@@ -168,7 +168,7 @@ def repeated_strings(parts: list[bytes], weights: np.ndarray, length: int) -> li
     found = np.zeros(len(text), bool)
     if len(held):
         # prefix shared with the owned string before: the least on the way there
-        shared = np.minimum.reduceat(lcp, np.append(0, held[:-1] + 1)) if len(held) else lcp
+        shared = np.minimum.reduceat(lcp[: held[-1] + 1], np.append(0, held[:-1] + 1))
         near = shared >= length
         near[0] = False
         found[order[held]] = near | np.append(near[1:], False)

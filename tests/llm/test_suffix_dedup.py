@@ -72,6 +72,20 @@ def test_repeated_rows_null_ids_clashing_columns_and_empty(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_greatest_owned_string_with_unowned_suffixes_after_it(spark):
+    shared = "zy" + "".join(chr(97 + i * 7 % 25) for i in range(190)) + "zzzzabcd"
+    texts = [shared + "a", shared + "b"]
+    assert run(spark, texts, 200) == brute(texts, 200)
+    for seed in range(200):
+        rng = random.Random(seed)
+        length = rng.randint(2, 6)
+        parts = list({bytes(rng.choices(b"abz", k=rng.randint(length, 2 * length - 1))) for _ in range(rng.randint(1, 6))})
+        strings = [[p[i : i + length] for i in range(len(p) - length + 1)] for p in parts]
+        every = sum(strings, [])
+        found = sd.repeated_strings(parts, np.ones(len(parts), np.int64), length)
+        assert [f.tolist() for f in found] == [[every.count(x) > 1 for x in own] for own in strings]
+
+
 def naive_arrays(text, cap):
     order = sorted(range(len(text)), key=lambda i: text[i:])
     lcp = [0]
