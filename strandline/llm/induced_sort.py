@@ -6,7 +6,9 @@ queue under their own first symbol, where they are already in order; a second,
 descending sweep does the same for the smaller type.  A queue entry is a tuple
 (suffix, common prefix with the entry before it in its bucket); a popped range's
 minimum plus one is the common prefix of the two entries that it induces, so
-prefix lengths (saturated at ``cap``) are carried along and never recomputed.
+prefix lengths (saturated at ``cap``) are carried along.  Those of the sorted LMS
+suffixes, which start the induction, are compared byte by byte, as are pairs
+where two parts of a bucket meet; the recursion on names carries none.
 
 Entries with equal first symbol leave the queue as one batch, so a sweep is a
 sequence of array operations.  Buckets beyond ``memory`` bytes are written to an
