@@ -17,16 +17,19 @@ where it stands:
     (an anchor with a single one needs no comparison).
     An anchor with more than HOT distinct segments is dealt again: its segments
     are cut by a second choice of anchor inside each string (another hash), and
-    so on, so no anchor's segments need fit into one task.
+    so on.  What DEPTH choices do not part (strings made of very few grams) is
+    settled string by string in an aggregate over their digests, so no anchor's
+    segments need fit into one task.
 4.  Each shard's suffix and common-prefix arrays come from `induced_sort`.  A
     string is repeated if its segment has weight 2 or more, or if a string that
     a segment owns stands next to it with a common prefix of `length` or more.
 5.  Repeated runs go back to the documents that hold the segment.
 
 Null is empty text; matches never cross documents.  Rows that repeat an id count
-each for themselves, and rows equal in id and text get equal results.  An anchor
-or segment is known by 64-bit hashes, segments within their anchor, so two
-different segments are taken for one with a probability of about 1e-19 a pair.
+each for themselves, and rows equal in id and text get equal results.  Segments
+are told apart by 128-bit digests of their bytes (BLAKE2b); the 64-bit hashes of
+anchors only deal strings to shards, where bytes decide.  A text of any size is
+cut into segments CHUNK starts at a time; runs end there, strings do not.
 """
 
 from __future__ import annotations
@@ -40,31 +43,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTES, _INVERSE, _powers, blocks, checkpoint, flat, mix, seeds, stored
+from .common import _BASE, _BYTES, _INVERSE, BLOCK_BYTES, _powers, blocks, checkpoint, flat, mix, seeds, stored
 from .induced_sort import suffix_array
 
-GRAM = 32
-SHARD = 512 << 10
+GRAM = 64
+SHARD = 1 << 20
 HOT = 20_000
 DEPTH = 12
-_PLACE = 28  # bits of an order key that hold the position
+CHUNK = 8 << 20
+_PLACE = 28  # bits of an order key that hold the position in a chunk
 
 
-class _Hashes:
-    """Hashes of byte spans of one flat array, from prefix sums."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.down = _powers(_INVERSE, n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _powers(_BASE, n + 1)[:n], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        size = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + size)
-
-    def grams(self, size: int) -> np.ndarray:
-        return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
+def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of `size` bytes, from prefix sums."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers(_BASE, n + 1)[:n], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _powers(_INVERSE, n + 1 - size))
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,27 +75,37 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM, seed: int = 0) -> tuple:
-    """Runs of strings with one anchor: value, start in the flat bytes, number of strings, anchor hash, segment hash."""
-    gram = min(gram, length)
+    """Runs of strings with one anchor: value, start in the flat bytes, number of strings, anchor hash."""
+    parts = [
+        _chunk_segments(data[a : a + CHUNK + length - 1], np.clip(offsets - a, 0, None), length, min(gram, length), seed, a)
+        for a in range(0, max(len(data) - length + 1, 1), CHUNK)
+    ]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _chunk_segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, seed: int, at: int) -> tuple:
+    """The runs among the first CHUNK starts of `data`, which stands at `at` in the flat bytes."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    if len(data) >> _PLACE:
-        raise ValueError(f"a text of over {1 << _PLACE} bytes")
-    hashes = _Hashes(data)
-    h = hashes.grams(gram)
+        return none, none, none, none.astype(np.uint64)
+    h = _gram_hashes(data, gram)
     order = h if not seed else mix(h ^ seeds(seed, 707)[-1])
     key = (order >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     anchor = (_sliding_least(key, length - gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    stop = np.repeat(offsets[1:], np.diff(offsets))
-    first = np.flatnonzero(np.arange(len(anchor)) + length <= stop[: len(anchor)])
+    # the end of each start's own value
+    owner = np.searchsorted(offsets, np.arange(len(anchor)), side="right") - 1
+    first = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[owner + 1])
     if not len(first):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    own = anchor[first]
-    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    start, count = first[begin], np.diff(np.append(begin, len(first)))
-    value = np.searchsorted(offsets, start, side="right") - 1
-    return value, start, count, h[own[begin]], hashes.spans(start, start + count - 1 + length)
+        return none, none, none, none.astype(np.uint64)
+    own, owner = anchor[first], owner[first]
+    begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])))
+    return owner[begin], first[begin] + at, np.diff(np.append(begin, len(first))), h[own[begin]]
+
+
+def digests(raw: bytes, starts: list[int], counts: list[int], length: int) -> list[bytes]:
+    """Digests of the bytes of segments."""
+    make = hashlib.blake2b
+    return [make(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(starts, counts, strict=True)]
 
 
 def _lists(at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -111,16 +116,17 @@ def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             data, offsets = flat(block.column("text"))
-            value, start, count, anchor, own = segments(data, offsets, length)
+            value, start, count, anchor = segments(data, offsets, length)
             at = np.searchsorted(value, np.arange(block.num_rows + 1))
             raw = data.tobytes()
+            own = digests(raw, start.tolist(), count.tolist(), length)
             sha = [hashlib.sha256(raw[a:z]).hexdigest() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id"), block.column("id"), block.column("th"),
                     pa.array(np.diff(offsets), pa.int64()), pa.array(sha, pa.string()),
                     _lists(at, start - offsets[value], pa.int32()), _lists(at, count, pa.int32()),
-                    _lists(at, anchor.view(np.int64), pa.int64()), _lists(at, own.view(np.int64), pa.int64()),
+                    _lists(at, anchor.view(np.int64), pa.int64()), _lists(at, own, pa.binary()),
                 ],
                 names=["doc_id", "id", "th", "n_bytes", "sha", "s", "c", "f", "g"],
             )
@@ -141,7 +147,7 @@ def _bytes_of(length: int):
                     out["g"].append(x["g"])
                     out["w"].append(x["w"])
                     out["bytes"].append(raw[x["s"] : x["s"] + x["c"] - 1 + length])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
@@ -203,38 +209,72 @@ def _recut(length: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "bytes"):
             data, offsets = flat(block.column("bytes"))
-            value, start, count, anchor, own = segments(data, offsets, length, seed=depth)
-            f, g, w = (block.column(c).to_numpy()[value] for c in ("f", "g", "w"))
+            value, start, count, anchor = segments(data, offsets, length, seed=depth)
+            f, g, w = (block.column(c).take(pa.array(value)) for c in ("f", "g", "w"))
             raw = data.tobytes()
+            own = digests(raw, start.tolist(), count.tolist(), length)
             parts = [raw[a : a + n - 1 + length] for a, n in zip(start.tolist(), count.tolist(), strict=True)]
-            finer = mix(anchor ^ mix(f.astype(np.int64).view(np.uint64) + np.uint64(depth)))
+            finer = mix(anchor ^ mix(f.to_numpy().view(np.uint64) + np.uint64(depth)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(f), pa.array(g), pa.array(w), pa.array(start - offsets[value], pa.int32()),
-                 pa.array(finer.view(np.int64)), pa.array(own.view(np.int64)), pa.array(parts, pa.binary())],
+                [f, g, w, pa.array(start - offsets[value], pa.int32()),
+                 pa.array(finer.view(np.int64)), pa.array(own, pa.binary()), pa.array(parts, pa.binary())],
                 names=["f", "g", "w", "off", "f2", "g2", "bytes"],
             )
 
     return run
 
 
+def _strings(length: int):
+    """Every string of the segments: f, g, off, w, d (its digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "bytes", BLOCK_BYTES // length):
+            f, g, off, w, d = [], [], [], [], []
+            for x in block.select(["f", "g", "w", "bytes"]).to_pylist():
+                n = len(x["bytes"]) - length + 1
+                f += [x["f"]] * n
+                g += [x["g"]] * n
+                w += [x["w"]] * n
+                off += range(n)
+                d += digests(x["bytes"], list(range(n)), [1] * n, length)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip((f, g, w, off, d), kinds, strict=True)], names=["f", "g", "w", "off", "d"]
+            )
+
+    return run
+
+
+_SOLVED = "f long, g binary, a array<int>, z array<int>"
+
+
+def _string_by_string(parts: DataFrame, length: int) -> DataFrame:
+    """The runs of `_solve` by an aggregate over string digests."""
+    each = stored(parts.mapInArrow(_strings(length), "f long, g binary, w long, off int, d binary"))
+    several = checkpoint(each.groupBy("d").agg(F.sum("w").alias("n")).filter("n > 1").select("d"))
+    found = each.join(several, "d", "left_semi").groupBy("f", "g").agg(F.collect_list("off").alias("a"))
+    return found.select("f", "g", "a", F.transform("a", lambda x: x + 1).alias("z"))
+
+
 def _solve(parts: DataFrame, length: int, depth: int = 0) -> DataFrame:
     """f, g, a, z: runs [a, z) of repeated strings of each segment (f, g, w, bytes) that has some."""
     hot = checkpoint(parts.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("f"))
-    any_hot = depth < DEPTH and hot.count() > 0
+    any_hot = hot.count() > 0
     cool = parts.join(hot, "f", "left_anti") if any_hot else parts
     total = cool.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("f"), F.lit(max(1, -(-total // SHARD)))).alias("shard")
     dealt = cool.select("f", "g", "w", "bytes", shard).groupBy("shard")
-    solved = dealt.applyInPandas(_shard(length), "f long, g long, a array<int>, z array<int>")
+    solved = dealt.applyInPandas(_shard(length), _SOLVED)
     if not any_hot:
         return solved
-    cut = parts.join(hot, "f", "left_semi").mapInArrow(
-        _recut(length, depth + 1), "f long, g long, w long, off int, f2 long, g2 long, bytes binary"
-    )
+    crowded = parts.join(hot, "f", "left_semi")
+    if depth >= DEPTH:
+        return solved.unionByName(_string_by_string(crowded, length))
+    cut = crowded.mapInArrow(_recut(length, depth + 1), "f long, g binary, w long, off int, f2 long, g2 binary, bytes binary")
     cut = stored(cut)
     finer = cut.groupBy(F.col("f2").alias("f"), F.col("g2").alias("g")).agg(F.sum("w").alias("w"), F.min("bytes").alias("bytes"))
     finer = stored(finer)
-    several = finer.groupBy("f").agg(F.sum("w").alias("n")).filter("n > 1").select("f")
+    several = checkpoint(finer.groupBy("f").agg(F.sum("w").alias("n")).filter("n > 1").select("f"))
     deeper = _solve(finer.join(several, "f", "left_semi"), length, depth + 1)
     back = cut.select("f", "g", "off", "f2", "g2").join(deeper.toDF("f2", "g2", "a", "z"), ["f2", "g2"])
     moved = lambda c: F.transform(c, lambda x: x + F.col("off"))
@@ -277,10 +317,11 @@ def suffix_dedup(
     doc_id = F.col(id_col).cast("long")
     # rows are known by (id, th): rows equal in both are alike in every way that matters here
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    schema = "doc_id long, id long, th long, n_bytes long, sha string, s array<int>, c array<int>, f array<long>, g array<long>"
+    schema = "doc_id long, id long, th long, n_bytes long, sha string, s array<int>, c array<int>, f array<long>, g array<binary>"
     base = stored(rows.mapInArrow(_anchored(length), schema))
     every = base.select("id", "th", F.inline(F.arrays_zip("s", "c", "f", "g")))
-    repeated = every.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
+    # a table of its own, so that the join below is of two plain exchanges and a hot anchor's side can be split
+    repeated = checkpoint(every.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"))
     places = stored(every.join(repeated, "f", "left_semi").select("id", "th", "s", "c", "f", "g"))
     distinct = stored(
         places.groupBy("f", "g")
@@ -294,7 +335,7 @@ def suffix_dedup(
     compared = distinct.join(crowded, "f", "left_semi")
     listed = compared.groupBy("id", "th").agg(F.collect_list(F.struct("s", "c", "f", "g", "w")).alias("listed"))
     parts = rows.select("id", "th", "text").join(listed, ["id", "th"]).select("text", "listed")
-    parts = stored(parts.mapInArrow(_bytes_of(length), "f long, g long, w long, bytes binary"))
+    parts = stored(parts.mapInArrow(_bytes_of(length), "f long, g binary, w long, bytes binary"))
     solved = _solve(parts, length).unionByName(alone)
 
     found = places.join(solved, ["f", "g"]).groupBy("id", "th").agg(F.collect_set(F.struct("s", "a", "z")).alias("found"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.llm import induced_sort
 from strandline.llm import suffix_dedup as sd
 from strandline.llm.induced_sort import MEMORY, suffix_array
 
@@ -54,9 +55,11 @@ def planted(seed, n=60):
     return out + [None, "", "=" * 1000, "ab" * 300, "short"]
 
 
-@pytest.mark.parametrize("seed, length, hot", [(1, 200, 20_000), (2, 60, 20_000), (3, 60, 3)])
-def test_matches_brute_force(spark, monkeypatch, seed, length, hot):
+@pytest.mark.parametrize("seed, length, hot, depth, chunk", [(1, 200, 20_000, 12, 8 << 20), (2, 60, 3, 12, 100), (3, 60, 3, 1, 8 << 20)])
+def test_matches_brute_force(spark, monkeypatch, seed, length, hot, depth, chunk):
     monkeypatch.setattr(sd, "HOT", hot)  # with a low limit, crowded anchors are dealt again
+    monkeypatch.setattr(sd, "DEPTH", depth)  # and then settled string by string
+    monkeypatch.setattr(sd, "CHUNK", chunk)
     monkeypatch.setattr(sd, "SHARD", 4000)
     texts = planted(seed)
     assert run(spark, texts, length) == brute(texts, length)
@@ -108,10 +111,36 @@ def test_induced_sorting_with_and_without_disk():
         assert (order.tolist(), lcp.tolist()) == naive_arrays(text, cap)
 
 
-def test_every_string_belongs_to_one_segment():
+@pytest.mark.parametrize("chunk", [8 << 20, 37])
+def test_every_string_belongs_to_one_segment(monkeypatch, chunk):
+    monkeypatch.setattr(sd, "CHUNK", chunk)
     raw = np.frombuffer(("".join(planted(9)[:20])).encode(), np.uint8)
     offsets = np.array([0, 700, 700, 900, len(raw)])
-    value, start, count, _, _ = sd.segments(raw, offsets, 200)
+    value, start, count, anchor = sd.segments(raw, offsets, 200)
     strings = sorted(s + i for s, n in zip(start, count, strict=True) for i in range(n))
     assert strings == [i for a, z in zip(offsets, offsets[1:], strict=False) for i in range(a, z - 199)]
     assert ((start >= offsets[value]) & (start + count + 199 <= offsets[value + 1])).all()
+    # a string's anchor does not depend on where chunks end
+    monkeypatch.setattr(sd, "CHUNK", 1 << 20)
+    _, start2, count2, anchor2 = sd.segments(raw, offsets, 200)
+    of = lambda s, n, f: np.repeat(f, n)[np.argsort(np.concatenate([np.arange(a, a + k) for a, k in zip(s, n, strict=True)]))]
+    assert (of(start, count, anchor) == of(start2, count2, anchor2)).all()
+
+
+def test_long_text(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    texts = [long, "x" + long[1_000_000:1_000_500] + "y", "z" * 2_000_000]
+    got = run(spark, texts, 200)
+    assert [r[1:3] for r in got] == [(500, 1), (500, 1), (2_000_000, 1)]
+
+
+def test_a_shard_of_production_size_waits_on_disk(monkeypatch):
+    spilled = []
+    spill = induced_sort.BucketQueue._spill
+    monkeypatch.setattr(induced_sort.BucketQueue, "_spill", lambda self: spilled.append(1) or spill(self))
+    rng = random.Random(6)
+    parts = list({bytes(rng.choices(b"abcdefghijkl ", k=350)) for _ in range(sd.SHARD // 350)})
+    twice = parts[0][:250] + bytes(rng.choices(b"xyz", k=100))
+    found = sd.repeated_strings([*parts, twice], np.ones(len(parts) + 1, np.int64), 200)
+    assert spilled and [f.sum() for f in found if f.any()] == [51, 51]
