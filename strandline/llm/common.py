@@ -22,27 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set from spark.checkpoint.dir.
+
+    Only a local session without that setting (tests) gets a folder of its own;
+    on a cluster the driver's disk would be out of the executors' reach.
+    """
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder named by spark.checkpoint.dir and cut its lineage.
 
-    A lost executor costs nothing that was written.  Only where no folder is
-    configured (tests, a local session) is one of our own set.
+    A lost executor costs nothing that was written.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-        )
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as a compressed table in the shared folder, and read back: for rows with texts."""
+    """`df` written as a compressed table in the shared folder, and read back: for rows with texts.
+
+    The table goes when the application ends: results that are read later may need it until then.
+    """
     spark = df.sparkSession
-    checkpoint(spark.range(1))  # makes sure that the folder is set
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
