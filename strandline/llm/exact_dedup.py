@@ -20,11 +20,10 @@ ignored whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -32,19 +31,6 @@ from .common import checkpoint
 COUNTERS = 512
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [hashlib.sha256((t or "").encode().lower()).digest() for t in _texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "digest"]
-        )
-
-
-def _texts(column: pa.Array) -> Iterator[str | None]:
-    for value in column:
-        yield value.as_py()
-
-
 def misra_gries(values: Iterator[bytes], counters: int) -> dict[bytes, int]:
     """At most `counters` values with lower bounds of their counts, each short by n / (counters+1) at most."""
     held: dict[bytes, int] = {}
@@ -69,12 +55,20 @@ def _summaries(counters: int):
     return run
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 (binary) of a text after lower-casing A-Z; null is empty."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.length(text) == F.octet_length(text)
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+    return F.unhex(F.sha2(lowered.cast("binary"), 256))
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (see the module)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_digests, "doc_id long, digest binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
     rows = checkpoint(rows.withColumn("rid", F.monotonically_increasing_id()))
     total = rows.count()
 
