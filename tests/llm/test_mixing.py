@@ -60,8 +60,21 @@ def test_settling_keeps_words_and_expectations():
     size, p = rng.integers(1, 50, 40).astype(float), rng.random(40)
     sums = np.zeros(40)
     for trial in range(400):
-        out, open_ = mixing.settle(size, p, [(trial, i) for i in range(40)])
+        out, open_ = mixing.settle(size, p, rng.integers(0, 1 << 63, 40).astype(np.uint64))
         assert abs((out * size).sum() - (p * size).sum()) < 1e-6
         assert sum(0 < x < 1 for x in out) <= 1 and (open_ < 0 or 0 < out[open_] < 1)
         sums += out
     assert np.abs(sums / 400 - p).max() < 0.12
+
+
+def test_many_rows_without_an_id_and_of_one_size(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
+    other = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("source"), F.lit("a b").alias("text"))
+    both = df.unionByName(other)
+    out = mixing.mix_sources(both).groupBy("source", "doc_id", "target", "copies").count().collect()
+    assert sum(r["count"] for r in out) == 23_000
+    for source, size in (("s", 3), ("t", 2)):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.copies * r["count"] for r in own) * size - own[0].target) <= size
+    again = mixing.mix_sources(both.repartition(5)).groupBy("source", "doc_id", "target", "copies").count().collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
