@@ -1,18 +1,20 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 A text is lower-cased (A-Z only) and reduced to its words ([0-9a-z] and
-everything beyond ASCII), joined by single spaces.  Rules are regular
-expressions over that form, each with a label, a priority and a keyword; they
-are written per family and expanded by a few templates (several hundred in all).
+everything beyond ASCII), joined by single spaces.  The rules of `license_rules`
+are regular expressions over that form, each with a label, a priority and a keyword.
 
-1.  One literal test (the alternation of all keywords) passes on the few
-    documents that can match at all; the others cost no more than that.
+1.  One literal test (a trie of all keywords) passes on the few documents that
+    can match at all; the others cost no more than that.
 2.  Of those, the keywords found in a document pick the rules to run; the rule
-    table is a constant of the plan.  There is one scan and no join.
-3.  Each rule gives its matches as word intervals.
+    table is a constant of the plan.
+3.  Each rule marks its matches in the text; cut at the blanks, the marks give
+    word intervals in one pass, whatever the number of matches.
 4.  Overlapping detections are resolved: an interval contained in one of
     higher priority (or of the same priority and larger, or equal and earlier
-    in the rule order) is suppressed, within the document's own array.
+    in the rule order) is suppressed.  In the order of starts that is a running
+    maximum of stops for each priority: windows over the detections of a row,
+    so n detections cost one sort.  Rows without a detection do not move.
 
 The base phrases are counted apart and never suppressed.  Null is empty text;
 documents without any detection have empty labels, null positions and score 0.
@@ -23,12 +25,13 @@ Rows are told apart by position, so repeated ids keep a row each.
 from __future__ import annotations
 
 import json
-import re
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+from .license_rules import keywords, rules
+
 BASE = {
     "gnu general public license": "gpl",
     "apache license": "apache",
@@ -36,148 +39,14 @@ BASE = {
     "mit license": "mit",
 }
 
-# Families of licenses as label, names (regular expressions over normalised words) and versions.
-_FAMILIES = [
-    ("gpl", "gnu gpl|gpl|gnu general public licen[cs]e", "1 2 3"),
-    ("lgpl", "gnu lgpl|lgpl|gnu (?:lesser|library) general public licen[cs]e", "2 2.1 3"),
-    ("agpl", "gnu agpl|agpl|gnu affero general public licen[cs]e|affero general public licen[cs]e", "1 3"),
-    ("gfdl", "gnu fdl|gfdl|gnu free documentation licen[cs]e", "1.1 1.2 1.3"),
-    ("apache", "apache|apache software|asl", "1 1.1 2"),
-    ("mpl", "mpl|mozilla public", "1 1.1 2"),
-    ("epl", "epl|eclipse public", "1 2"),
-    ("eupl", "eupl|european union public", "1.1 1.2"),
-    ("cddl", "cddl|common development and distribution", "1 1.1"),
-    ("cpl", "cpl|common public", "1"),
-    ("osl", "osl|open software", "1 2 2.1 3"),
-    ("afl", "afl|academic free", "1.2 2 2.1 3"),
-    ("artistic", "artistic|perl artistic", "1 2"),
-    ("boost", "bsl|boost|boost software", "1"),
-    ("zpl", "zpl|zope public", "1.1 2 2.1"),
-    ("lppl", "lppl|latex project public", "1 1.1 1.2 1.3"),
-    ("ofl", "ofl|sil open font|open font", "1 1.1"),
-    ("ms-pl", "ms pl|microsoft public", "1"),
-    ("ms-rl", "ms rl|microsoft reciprocal", "1"),
-    ("psf", "psf|python software foundation", "2"),
-    ("php", "php", "3 3.01"),
-    ("ecl", "ecl|educational community", "1 2"),
-    ("cecill", "cecill", "1 2 2.1"),
-    ("odbl", "odbl|open database", "1"),
-    ("odc-by", "odc by|open data commons attribution", "1"),
-    ("pddl", "pddl|public domain dedication and", "1"),
-    ("ncsa", "ncsa|university of illinois ncsa open source", "1"),
-    ("wtfpl", "wtfpl|do what the fuck you want to public", "1 2"),
-    ("unlicense", "unlicense", "1"),
-    ("isc", "isc|internet systems consortium", "1"),
-    ("zlib", "zlib|zlib libpng", "1"),
-    ("mit", "mit|expat|x11|mit x11", "0"),
-    ("bsd", "bsd|berkeley software distribution", "0"),
-    ("bsd-2-clause", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", "0"),
-    ("bsd-3-clause", "bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", "0"),
-    ("bsd-4-clause", "bsd 4 clause|4 clause bsd|original bsd", "0"),
-]
-# Creative Commons elements (in order) and versions.
-_CC = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"]
-_CC_NAMES = {
-    "by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?(?: works)?", "nc": "non ?commercial",
-}
-_CC_VERSIONS = "1 2 2.5 3 4"
-# Characteristic sentences: label, keyword, pattern.
-_SENTENCES = [
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd-3-clause", "endorse", "names? of (?:its|the copyright holders?|any) contributors may be used to endorse"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software"),
-    ("apache", "compliance", "you may not use this file except in compliance with the licen[cs]e"),
-    ("apache", "apache", "www apache org licenses license 2 0"),
-    ("gpl", "gnu", "under the terms of the gnu general public licen[cs]e"),
-    ("gpl", "gnu", "you should have received a copy of the gnu general public licen[cs]e"),
-    ("lgpl", "gnu", "under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
-    ("agpl", "affero", "under the terms of the gnu affero general public licen[cs]e"),
-    ("gpl", "gnu", "www gnu org licenses gpl(?: [0-9]+ [0-9]+)?"),
-    ("lgpl", "gnu", "www gnu org licenses lgpl(?: [0-9]+ [0-9]+)?"),
-    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("public-domain", "public domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain"),
-    ("zlib", "warranty", "this software is provided as is without any express or implied warranty"),
-    ("proprietary", "rights", "all rights reserved"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "unauthorized", "unauthorized copying (?:or use )?of this (?:file|text|document|work)"),
-    ("cc-by", "creativecommons", "creativecommons org licenses by(?: [1-4] [0-9])?"),
-    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa(?: [1-4] [0-9])?"),
-    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc(?: [1-4] [0-9])?"),
-    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa(?: [1-4] [0-9])?"),
-]
-
-
-@dataclass(frozen=True)
-class Rule:
-    order: int
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    confidence: float
-
-
-def _version(v: str) -> str:
-    """2 also matches 2 0; 2.1 is two words."""
-    return v.replace(".", " ") if "." in v else f"{v}(?: 0)?"
-
-
-def rules() -> list[Rule]:
-    """The expanded rule list, in order.  Priority grows with how much a pattern says."""
-    out: list[tuple] = []
-    for label, names, versions in _FAMILIES:
-        for name in names.split("|") if "(" not in names else _alternatives(names):
-            keyword = max(re.findall(r"(?<![^ ])[a-z0-9]+(?![^ ])", name), key=len)  # its longest literal word
-            named = name if "licen" in name else f"{name}(?: public)? licen[cs]e"
-            for v in versions.split() if versions != "0" else []:
-                mark = f"{named}|{name}" if name != "asl" else name
-                out += [
-                    (f"{label}-{v}", keyword, f"(?:{mark}) (?:version |v ?)?{_version(v)}", 60, 0.95),
-                    (f"{label}-{v}-or-later", keyword, f"(?:{mark}) (?:version |v ?)?{_version(v)} or (?:any )?later", 70, 0.95),
-                    (f"{label}-{v}", "spdx", f"spdx license identifier {name} {_version(v)}(?: only)?", 90, 1.0),
-                ]
-            out += [
-                (label, keyword, f"(?:the )?{named}", 30, 0.8),
-                (label, keyword, f"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of the )?(?:{named}|{name})", 50, 0.9),
-                (label, "spdx", f"spdx license identifier {name}", 80, 1.0),
-            ]
-    for kind in _CC:
-        label = f"cc-{kind.replace(' ', '-')}"
-        long = " ".join(_CC_NAMES[k] for k in kind.split())
-        out += [
-            (label, "cc", f"cc {kind}", 40, 0.9),
-            (label, "creative", f"creative commons {long}(?: (?:licen[cs]e|international|unported))*", 45, 0.9),
-            (label, "attribution", f"{long} (?:international|unported|generic)", 40, 0.8),
-        ]
-        for v in _CC_VERSIONS.split():
-            out += [
-                (f"{label}-{v}", "cc", f"cc {kind} {_version(v)}", 60, 0.95),
-                (f"{label}-{v}", "creative", f"creative commons {long} {_version(v)}", 65, 0.95),
-                (f"{label}-{v}", "spdx", f"spdx license identifier cc {kind} {_version(v)}", 90, 1.0),
-            ]
-    out += [(label, keyword, pattern, 55, 0.9) for label, keyword, pattern in _SENTENCES]
-    return [Rule(i, *r) for i, r in enumerate(dict.fromkeys(out))]
-
 
-def _alternatives(names: str) -> list[str]:
-    """Split at bars outside brackets."""
-    out, depth, held = [], 0, ""
-    for c in names:
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            out.append(held)
-            held = ""
-        else:
-            held += c
-    return [*out, held]
-
-
-def keywords() -> list[str]:
-    return sorted({r.keyword for r in rules()})
+def trie(words: list[str]) -> str:
+    """A regular expression for exactly these words that decides letter by letter."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        tails.setdefault(w[:1], []).append(w[1:])
+    branches = ["" if not c else c + (trie(rest) if rest != [""] else "") for c, rest in sorted(tails.items(), reverse=True)]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def _n_words(s: Column) -> Column:
@@ -197,22 +66,35 @@ def _lower(s: Column) -> Column:
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+_INTERVALS = "array<struct<start:bigint,stop:bigint>>"
+
+
 def _intervals(norm: Column, pattern: Column) -> Column:
-    """(start, stop) in words of every match of `pattern` (whole words) in ' w1 w2 ... '."""
-    whole = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    found = F.regexp_extract_all(norm, whole, F.lit(0))
-    gaps = F.split(norm, whole, -1)
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    start = lambda i: F.aggregate(  # noqa: E731  blanks before match i, the first of which leads the string
-        F.slice(gaps, 1, i + 1), F.lit(-1), lambda a, g: a + spaces(g)
-    ) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, m: a + spaces(m))
-    return F.transform(
-        F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            start(i).cast("long").alias("start"),
-            (start(i) + spaces(F.element_at(found, i + 1)) + 1).cast("long").alias("stop"),
-        ),
+    """(start, stop) in words of every match of `pattern` (whole words) in ' w1 w2 ... '.
+
+    Matches are put between two control characters, which the words cannot hold.
+    """
+    whole = F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )"))
+    words = F.split(F.ltrim(F.regexp_replace(norm, whole, F.lit("\x01$1\x02"))), " ")
+    place = lambda mark, shift: F.filter(
+        F.transform(words, lambda w, i: F.when(mark(w), (i + shift).cast("long"))), lambda i: i.isNotNull()
     )
+    starts, stops = place(lambda w: w.startswith("\x01"), 0), place(lambda w: w.endswith("\x02"), 1)
+    found = F.arrays_zip(starts.alias("start"), stops.alias("stop")).cast(_INTERVALS)
+    return F.when(F.rlike(norm, whole), found).otherwise(F.array().cast(_INTERVALS))
+
+
+def _survivors(found: DataFrame) -> DataFrame:
+    """Detections (rid, start, stop, priority, ord, ...) that no other one suppresses."""
+    before = Window.partitionBy("rid").orderBy("start", F.col("stop").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    alike = Window.partitionBy("rid", "priority").orderBy("start", F.col("stop").desc(), "ord")
+    over = F.lit(False)
+    for level in sorted({r.priority for r in rules()})[:-1]:
+        higher = F.max(F.when(F.col("priority") > level, F.col("stop"))).over(before)
+        over |= (F.col("priority") == level) & F.coalesce(higher >= F.col("stop"), F.lit(False))
+    same = F.max("stop").over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    over |= F.coalesce(same >= F.col("stop"), F.lit(False))
+    return found.withColumn("over", over).filter("not over").drop("over")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +104,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _GAPS, " ")), F.lit(" "))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
-    gate = "(?i) (?:" + "|".join(sorted({*keys, *(p.split(" ")[0] for p in BASE)})) + ") "
+    gate = f"(?i) {trie([*keys, *(p.split(' ')[0] for p in BASE)])} "
     gated = F.col("norm").rlike(gate)
     scanned = rows.select(
         "doc_id",
@@ -263,15 +145,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(open_row, found).otherwise(F.array().cast(_FOUND)).alias("found"),
         F.when(open_row, base).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"),
     )
-    covers = lambda a, b: (  # noqa: E731  a suppresses b
-        (a["start"] <= b["start"]) & (a["stop"] >= b["stop"]) & (a["ord"] != b["ord"])
-        & ((a["priority"] > b["priority"])
-           | ((a["priority"] == b["priority"])
-              & ((a["stop"] - a["start"] > b["stop"] - b["start"])
-                 | ((a["stop"] - a["start"] == b["stop"] - b["start"]) & (a["ord"] < b["ord"])))))
-    )
-    kept = F.filter(F.col("found"), lambda b: ~F.exists(F.col("found"), lambda a: covers(a, b)))
-    hit = hit.select("doc_id", "n_words", "base", kept.alias("detections"))
+    hit = stored(hit.withColumn("rid", F.monotonically_increasing_id()))
+    kept = _survivors(hit.select("rid", F.inline("found")))
+    detection = F.struct("start", "stop", "priority", "ord", "label", "confidence")
+    kept = kept.groupBy("rid").agg(F.array_sort(F.collect_list(detection)).alias("detections"))
+    plain = hit.filter(F.size("found") == 0).withColumn("detections", F.array().cast(_FOUND))
+    rich = hit.filter(F.size("found") > 0).join(kept, "rid")
+    hit = plain.select("doc_id", "n_words", "base", "detections").unionByName(rich.select("doc_id", "n_words", "base", "detections"))
     return hit.select(*_columns(F.col("base"), F.col("detections")))
 
 
