@@ -7,16 +7,21 @@ symbols, the last one bearing the word-end suffix.  The pre-tokens that a batch
 sees for the first time go through the merge rounds together: their symbols
 stand in one flat array, every adjacent pair becomes one 64-bit key, a binary
 search over the sorted merge keys gives its rank, and each word merges all
-places of its lowest-ranked pair.  Words that have no pair left drop out.
+places of its lowest-ranked pair.  Words that have no pair left drop out.  A
+word of more than ``LONG`` bytes has rounds of its own that touch only the places
+of the round's pair and their neighbours, so its cost does not grow with its
+length times its rounds.
 
 Null is empty text; empty text has no ids and decodes to the empty string.
-Texts are processed whole.  Per worker, words already merged are remembered up
-to ``MEMORY`` of them, so memory is bounded whatever the vocabulary of the data.
+Texts are processed whole.  Per worker, words already merged are remembered, two
+generations of about ``MEMORY`` of them, so memory is bounded whatever the
+vocabulary of the data.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-MEMORY = 300_000
+MEMORY = 250_000
+LONG = 256
 
 
 def byte_symbols() -> list[str]:
@@ -71,8 +77,10 @@ class WordBpe:
         keys = (left << 32) | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made
+        self.pairs = left, right
         self.numbers = [str(i) for i in range(max(self.tokens) + 1)]
         self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the n + 1 offsets of the words."""
@@ -114,6 +122,55 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of merges where there is none."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: rounds over the places of its lowest-ranked pair, kept by rank."""
+        data = np.frombuffer(word, np.uint8)
+        sym, n = self.inner[data], len(data)
+        sym[-1] = self.final[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive, places, heap = np.ones(n, bool), {}, []
+
+        def enter(at: np.ndarray) -> None:
+            """Remember the pairs that begin at these places under their ranks."""
+            rank = self._ranks(sym[at], sym[after[at]])
+            known = rank < len(self.ranks)
+            at, rank = at[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            new = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank
+            for r, own in zip(rank[new].tolist(), np.split(at, new[1:]), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(own)
+
+        enter(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[(sym[at] == self.pairs[0][r]) & (sym[after[at]] == self.pairs[1][r])]
+            if not len(at):
+                continue
+            # of overlapping places (a a a) every other one merges, from the left
+            begin = np.append(True, after[at[:-1]] != at[1:])
+            first = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            sym[at], alive[gone] = self.made[r], False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            near = np.unique(np.concatenate([at, before[at]]))
+            enter(near[(near >= 0) & (after[near] < n)])
+        return sym[alive]
+
     def pre_tokens(self, chunk: str) -> list[str]:
         """Normalised pre-tokens of a piece of text without special tokens."""
         chunk = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
@@ -146,10 +203,20 @@ class WordBpe:
             else:
                 split.append(() if c in self.special else self.pre_tokens(c))
         words = list(dict.fromkeys(chain.from_iterable(split)))
-        ids, at = self.merge([w.encode() for w in words]) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        raw = [w.encode() for w in words]
+        long = [w for w, r in zip(words, raw, strict=True) if len(r) > LONG]
+        if long:
+            words, raw = [w for w, r in zip(words, raw, strict=True) if len(r) <= LONG], [r for r in raw if len(r) <= LONG]
+        ids, at = self.merge(raw) if raw else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         ids, at = ids.tolist(), at.tolist()
         numbers, tokens = [self.numbers[i] for i in ids], [self.tokens[i] for i in ids]
-        own = {w: (" ".join(numbers[a:z]), " ".join(tokens[a:z])) for w, a, z in zip(words, at, at[1:])}
+        own = {
+            w: (numbers[a], tokens[a]) if z - a == 1 else (" ".join(numbers[a:z]), " ".join(tokens[a:z]))
+            for w, a, z in zip(words, at, at[1:])
+        }
+        for w in long:
+            merged = self.merge_long(w.encode()).tolist()
+            own[w] = " ".join([self.numbers[i] for i in merged]), " ".join([self.tokens[i] for i in merged])
         for c, parts in zip(listed, split, strict=True):
             if len(parts) == 1:
                 self.known[c] = own[parts[0]]
@@ -165,9 +232,13 @@ class WordBpe:
     def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each text."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if len(self.known) > MEMORY:  # the generation before the last is forgotten
+            self.known, self.older = {}, self.known
         new = set().union(*cut).difference(self.known)
+        met = new & self.older.keys()
+        if met:
+            self.known.update(zip(met, map(self.older.__getitem__, met)))
+            new -= met
         if new:
             self.learn(new)
         out, get = [], self.known.__getitem__

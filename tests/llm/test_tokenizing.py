@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,23 @@ def test_bpe_equals_the_library(tokenizer_path, odd_texts):
         assert ours.decode(want) == decoded
 
 
+def test_long_words(tokenizer_path):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    theirs, ours, rng = Tokenizer.from_file(path), WordBpe(path), random.Random(3)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "aé中b", "a"):
+        for size in (257, 258, 300, 1000, 30_000):
+            word = "".join(rng.choices(alphabet, k=size))
+            assert ours.encode(word) == theirs.encode(word, add_special_tokens=False).ids, (alphabet, size)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    begin = time.time()
+    ids = ours.encode(word)
+    assert time.time() - begin < 20 and ids == theirs.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_operator(spark, tokenizer_path):
     rows = [(1, "Hello, world"), (2, None), (2, None), (None, "a" * 400_000 + " b"), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
