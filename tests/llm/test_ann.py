@@ -55,3 +55,39 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     out = ann.nearest(df, F.col("vec_id") % 20 == 0, 1).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(20, 1, 3, 1.0), (20, 1, 3, 1.0)]
+
+
+@pytest.mark.parametrize("n, most", [(6000, 0.1), (24_000, 0.05)])
+def test_recall_and_share_of_verified_vectors_at_two_sizes(spark, n, most):
+    """Unit vectors without any structure, the hardest case; the larger table verifies the smaller share."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    asked = F.col("vec_id") % (n // 100) == 0
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), asked, 20, counts=True).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append(r)
+    recall = []
+    for q, hits in got.items():
+        score = (x * x[q]).sum(1)
+        score[q] = -2
+        recall.append(len({h.vec_id for h in hits} & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert len(got) == 100 and np.mean(recall) >= 0.9
+    assert np.mean([hits[0].verified for hits in got.values()]) / n < most
+
+
+def test_one_vector_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((600, 8)).tolist()
+    rows = [(i, x[0] if i % 3 == 0 else x[i]) for i in range(600)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    want = brute(rows, 20, 20)
+    for q in want:
+        got = sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q)
+        assert len(got) == 20
+        if q % 60 == 0:  # the vector itself: its other rows are nearest, by id
+            best = [i for i in range(0, 600, 3) if i != q][:20]
+            longer = sum(s > got[0][2] + 1e-9 for s, _ in want[q])
+            assert longer or [g[1] for g in got] == best
