@@ -7,16 +7,17 @@ descending sweep does the same for the smaller type.  A queue entry is a tuple
 (suffix, common prefix with the entry before it in its bucket); a popped range's
 minimum plus one is the common prefix of the two entries that it induces, so
 prefix lengths (saturated at ``cap``) are carried along.  Those of the sorted LMS
-suffixes, which start the induction, are compared byte by byte, as are pairs
-where two parts of a bucket meet; the recursion on names carries none.
+suffixes, which start the induction, are carried from one LMS suffix to the next
+in the text and only extended by comparison; so are pairs where two parts of a
+bucket meet.  The recursion on names carries none.
 
 Entries with equal first symbol leave the queue as one batch, so a sweep is a
 sequence of array operations.  Buckets beyond ``memory`` bytes are written to an
 unnamed scratch file and read back when their turn comes, in sequence; nothing
 of it outlives the sort.  LMS substrings are sorted by the same two sweeps and
 named; if names repeat, the string of names is sorted recursively.  Below the
-first level symbols are so many that batches hold few entries; there the sweeps
-run entry by entry.
+first level symbols are so many that batches hold few entries; there substrings
+are named by refinement and the sweeps run entry by entry, in memory.
 """
 
 from __future__ import annotations
@@ -104,27 +105,67 @@ def types(text: np.ndarray) -> np.ndarray:
     return small
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix lengths of pairs of suffixes, up to cap, by comparing four 16-bit symbols at a time while pairs are equal.
+def _packed(text: np.ndarray, cap: int) -> np.ndarray:
+    """The four 16-bit symbols from every place on, as one number."""
+    padded = np.concatenate([text.astype("<u2", copy=False), np.zeros(cap + 36, "<u2")])
+    return np.ndarray(len(padded) - 3, "<u8", padded.data, strides=(2,))
+
+
+def _extended(fours: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix lengths of pairs of suffixes, up to cap, that are known to agree in so many symbols.
 
     The last symbol is unique, so no pair is equal beyond it.
     """
-    out = np.zeros(len(a), np.uint8)
-    padded = np.concatenate([text.astype("<u2", copy=False), np.zeros(cap + 4, "<u2")])
-    fours = np.ndarray(len(padded) - 3, "<u8", padded.data, strides=(2,))
-    live, k = np.arange(len(a)), 0
-    while len(live) and k < cap:
-        differ = fours[a[live] + k] ^ fours[b[live] + k]
-        same = np.zeros(len(live), np.int64)
-        for width in (16, 32, 48, 64):
-            same += differ & np.uint64((1 << width) - 1) == 0
-        out[live] = np.minimum(k + same, cap)
-        live = live[same == 4]
-        k += 4
+    out = known.copy()
+    live = np.flatnonzero(out < cap)
+    words = np.arange(1)
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        differ = fours[x[:, None] + 4 * words] ^ fours[y[:, None] + 4 * words]
+        first = (differ != 0).argmax(1)
+        here = differ[np.arange(len(live)), first]
+        same = np.where(here == 0, 4 * len(words), 4 * first)
+        for width in (16, 32, 48):
+            same += (here != 0) & (here & np.uint64((1 << width) - 1) == 0)
+        out[live] = np.minimum(out[live] + same, cap)
+        live = live[(here == 0) & (out[live] < cap)]
+        words = np.arange(8)
     return out
 
 
-def _sweep(text, small, buckets, seeds, cap, memory, ascending):
+def common_prefix(fours: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> int:
+    """Common prefix length of two suffixes (arrays of one), up to cap."""
+    return int(_extended(fours, a, b, np.zeros(1, np.int64), cap)[0])
+
+
+def neighbour_prefixes(text: np.ndarray, lms: np.ndarray, cap: int, lanes_of: int = 64) -> np.ndarray:
+    """Common prefix of each of the sorted LMS suffixes with the one before.
+
+    Values are carried along the text: if a suffix shares h symbols with the one
+    before it in order, the next LMS suffix, d symbols on, shares h - d with its
+    own, as the match holds an LMS suffix there as well (its type is certain where
+    the next symbol differs).  Lanes of consecutive suffixes advance together.
+    """
+    n = len(lms)
+    fours, place = _packed(text, cap), np.argsort(lms, kind="stable")
+    lanes = -(-n // lanes_of)
+    pad = lambda x: np.pad(x, (0, lanes * lanes_of - n), mode="edge").reshape(lanes, lanes_of)
+    here, mate = pad(lms[place].astype(np.int64)), pad(lms[np.maximum(place - 1, 0)].astype(np.int64))
+    alone, out = pad(place == 0), np.zeros((lanes, lanes_of), np.int64)
+    sure = text[here] != text[np.minimum(here + 1, len(text) - 1)]
+    held = np.zeros(lanes, np.int64)
+    for j in range(lanes_of):
+        if j:
+            held = held - (here[:, j] - here[:, j - 1])
+            held[(held < 2) | ~sure[:, j]] = 0
+        held = np.where(alone[:, j], 0, _extended(fours, here[:, j], mate[:, j], np.where(alone[:, j], cap, held), cap))
+        out[:, j] = held
+    prefixes = np.zeros(n, np.uint8)
+    prefixes[place] = out.ravel()[:n]
+    return prefixes
+
+
+def _sweep(text, fours, small, buckets, seeds, cap, memory, ascending):
     """One induction sweep.
 
     `seeds[c]`: (suffixes, prefixes) of symbol c that are known before, in
@@ -192,7 +233,7 @@ def _sweep(text, small, buckets, seeds, cap, memory, ascending):
         more, more_prefixes = seeds[c]
         if len(more):
             more_prefixes = more_prefixes.copy()
-            more_prefixes[0] = common_prefix(text, out[c][0][-1:], more[:1], cap)[0] if len(out[c][0]) else 0
+            more_prefixes[0] = common_prefix(fours, out[c][0][-1:], more[:1], cap) if len(out[c][0]) else 0
             own = pop_batch(c, more, more_prefixes)
             if len(own[0]):
                 raise AssertionError("a seed induced an entry of its own bucket")
@@ -205,7 +246,8 @@ def _induce(text, small, buckets, lms, prefixes, cap, memory):
     symbol = text[lms]
     at = np.searchsorted(symbol, np.arange(buckets + 1))
     seeds = [(lms[a:z].astype(np.int32), prefixes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-    large = _sweep(text, small, buckets, seeds, cap, memory, True)
+    fours = _packed(text, cap)
+    large = _sweep(text, fours, small, buckets, seeds, cap, memory, True)
 
     def backwards(entry):
         suffixes, lcps = entry
@@ -213,13 +255,13 @@ def _induce(text, small, buckets, lms, prefixes, cap, memory):
         back[1:] = lcps[:0:-1]
         return suffixes[::-1], back
 
-    small_parts = _sweep(text, small, buckets, [backwards(e) for e in large], cap, memory, False)
+    small_parts = _sweep(text, fours, small, buckets, [backwards(e) for e in large], cap, memory, False)
     order, lcp = [], []
     for c in range(buckets):
         (a, la), (b, lb) = large[c], backwards(small_parts[c])
         if len(a) and len(b):
             lb = lb.copy()
-            lb[0] = common_prefix(text, a[-1:], b[:1], cap)[0]
+            lb[0] = common_prefix(fours, a[-1:], b[:1], cap)
         order += [a, b]
         lcp += [la, lb]
     order, lcp = np.concatenate(order), np.concatenate(lcp)
@@ -263,6 +305,37 @@ def _sort_lms(text, small, buckets, cap, memory) -> np.ndarray:
     return lms[np.array(sort_names(names.tolist(), n))]
 
 
+def _refined_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings in text order, from their symbols and types.
+
+    A substring's name starts as its place among all by the first symbol and is
+    refined symbol by symbol.  Substrings with equal codes so far are all ended
+    or all open, as an end is a change of type, so open ones are sorted alone.
+    """
+    code = 2 * text + small
+    ends = np.append(lms[1:], len(text) - 1)
+    first = code[lms]
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(lms), np.int64)
+    rank[order] = np.searchsorted(first[order], first[order])
+    live, k = np.flatnonzero(ends > lms), 1
+    while len(live):
+        own, next_code = rank[live], code[lms[live] + k]
+        order = np.lexsort((next_code, own))
+        own, next_code = own[order], next_code[order]
+        at = np.arange(len(own))
+        group = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), at, 0))
+        new = np.append(True, (own[1:] != own[:-1]) | (next_code[1:] != next_code[:-1]))
+        rank[live[order]] = own + np.maximum.accumulate(np.where(new, at, 0)) - group
+        # a substring whose rank is its own needs no further symbol
+        single = np.zeros(len(live), bool)
+        single[order] = new & np.append(new[1:], True)
+        live, k = live[~single], k + 1
+        live = live[ends[live] >= lms[live] + k]
+    distinct, names = np.unique(rank, return_inverse=True)
+    return names, len(distinct)
+
+
 def sort_names(text: list[int], symbols: int) -> list[int]:
     """Suffix array of a string of names whose last one is the unique smallest: the same recursion, entry by entry."""
     n = len(text)
@@ -270,46 +343,40 @@ def sort_names(text: list[int], symbols: int) -> list[int]:
         return [0]
     array = np.array(text)
     small = types(array)
-    stops = np.cumsum(np.bincount(array, minlength=symbols)).tolist()
-    starts = [0, *stops[:-1]]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    names, count = _refined_names(array, small, lms)
+    if count == len(lms):
+        sorted_lms = lms[np.argsort(names)]
+    else:
+        sorted_lms = lms[np.array(sort_names(names.tolist(), count))]
+    tail = np.cumsum(np.bincount(array, minlength=symbols)).tolist()
+    head = [0, *tail[:-1]]
+    stops = tail.copy()
     # the left neighbour's symbol if it is of the larger (smaller) type, else -1; n stands for an empty place
     left = np.append(-1, array[:-1])
     kind = np.append(True, small[:-1])
     to_large = np.append(np.where(kind, -1, left), -1).tolist()
     to_small = np.append(np.where(kind, left, -1), -1).tolist()
-
-    def induce(seeds: list[int]) -> np.ndarray:
-        order, tail = [n] * n, stops.copy()
-        for i in reversed(seeds):
-            c = text[i]
-            tail[c] -= 1
-            order[tail[c]] = i
-        head = starts.copy()
-        for i in order:  # entries pushed ahead are met later on
-            c = to_large[i]
-            if c >= 0:
-                at = head[c]
-                order[at] = i - 1
-                head[c] = at + 1
-        tail = stops.copy()
-        for i in reversed(order):
-            c = to_small[i]
-            if c >= 0:
-                at = tail[c] - 1
-                order[at] = i - 1
-                tail[c] = at
-        order[0] = n - 1
-        return np.array(order)
-
-    is_lms = np.zeros(n + 1, bool)
-    is_lms[lms] = True
-    order = induce(lms.tolist())
-    sorted_lms = order[is_lms[order]]
-    names, count = _names(array, lms, sorted_lms)
-    if count < len(lms):
-        sorted_lms = lms[np.array(sort_names(names.tolist(), count))]
-    return induce(sorted_lms.tolist()).tolist()
+    order = [n] * n
+    for i in reversed(sorted_lms.tolist()):
+        c = text[i]
+        tail[c] -= 1
+        order[tail[c]] = i
+    for i in order:  # entries pushed ahead are met later on
+        c = to_large[i]
+        if c >= 0:
+            at = head[c]
+            order[at] = i - 1
+            head[c] = at + 1
+    tail = stops
+    for i in reversed(order):
+        c = to_small[i]
+        if c >= 0:
+            at = tail[c] - 1
+            order[at] = i - 1
+            tail[c] = at
+    order[0] = n - 1
+    return order
 
 
 def suffix_array(text: np.ndarray, buckets: int, cap: int = 200, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +388,5 @@ def suffix_array(text: np.ndarray, buckets: int, cap: int = 200, memory: int = M
     if len(text) == 1:
         return np.zeros(1, np.int32), np.zeros(1, np.uint8)
     lms = _sort_lms(text, small, buckets, cap, memory)
-    prefixes = np.zeros(len(lms), np.uint8)
-    if len(lms) > 1:
-        prefixes[1:] = common_prefix(text, lms[:-1], lms[1:], cap)
+    prefixes = neighbour_prefixes(text, lms, cap) if len(lms) else np.zeros(0, np.uint8)
     return _induce(text, small, buckets, lms, prefixes, cap, memory)

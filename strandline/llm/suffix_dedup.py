@@ -27,7 +27,7 @@ where it stands:
 
 Null is empty text; matches never cross documents.  Rows that repeat an id count
 each for themselves, and rows equal in id and text get equal results.  Segments
-are told apart by 128-bit digests of their bytes (BLAKE2b); the 64-bit hashes of
+are told apart by 128-bit digests of their bytes (XXH3); the 64-bit hashes of
 anchors only deal strings to shards, where bytes decide.  A text of any size is
 cut into segments CHUNK starts at a time; runs end there, strings do not.
 """
@@ -48,7 +48,7 @@ from .induced_sort import suffix_array
 
 GRAM = 64
 SHARD = 1 << 20
-HOT = 20_000
+HOT = 4096
 DEPTH = 12
 CHUNK = 8 << 20
 _PLACE = 28  # bits of an order key that hold the position in a chunk
@@ -104,8 +104,10 @@ def _chunk_segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: in
 
 def digests(raw: bytes, starts: list[int], counts: list[int], length: int) -> list[bytes]:
     """Digests of the bytes of segments."""
-    make = hashlib.blake2b
-    return [make(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(starts, counts, strict=True)]
+    import xxhash
+
+    make, view = xxhash.xxh3_128_digest, memoryview(raw)
+    return [make(view[a : a + n + length - 1]) for a, n in zip(starts, counts, strict=True)]
 
 
 def _lists(at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
