@@ -4,7 +4,8 @@ Training.  Byte 4-grams of words (one per letter position: the byte before, the
 byte, the two after, cut at the word's end) are hashed into ``BUCKETS`` cells
 and counted per language over a bounded sample: about ``SAMPLE`` labelled rows a
 language, chosen by a hash of the id.  The table of log probabilities has
-languages x BUCKETS cells whatever the input, and is broadcast.
+languages x BUCKETS cells whatever the input, and is broadcast; at most
+``LANGUAGES`` labels are learnt, those of most rows, so it stays under 64 MB.
 
 Prediction, from the text alone.  Every word of a text has a likelihood under
 each language, from its n-grams.  Expectation-maximisation estimates the
@@ -27,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import blocks, flat
 
 BUCKETS = 1 << 16
 SAMPLE = 1500
+LANGUAGES = 256
 PENALTY = 4.0
 ROUNDS = 25
 UNKNOWN = "und"
@@ -65,10 +68,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and their log probabilities (BUCKETS x languages) from rows (id, text, lang)."""
     rows = rows.filter(F.col("lang").isNotNull())
-    seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    each = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most)
+    seen = {r["lang"]: r["count"] for r in each.collect()}
     langs = sorted(seen, key=lambda s: s.encode())
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -87,7 +91,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["cell", "n"])
 
-    drawn = rows.filter(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
+    drawn = rows.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(share, F.col("lang"))).select("text", "lang")
     summed = drawn.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = np.zeros(len(langs) * BUCKETS)
     found = summed.toPandas()  # languages x BUCKETS rows at most
@@ -174,19 +178,22 @@ def identify_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     sample: int = SAMPLE,
+    most: int = LANGUAGES,
     carry: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, lang_pred, score, languages (chosen set with proportions).
 
     `training`: which rows may be learnt from (all labelled ones if None).
     `carry`: instead of doc_id all columns of `docs` as they are, then lang_pred
-    and score (which replace columns of these names).
+    and score; ValueError if `docs` has columns of these names.
     """
+    if carry and {"lang_pred", "score"} & set(docs.columns):
+        raise ValueError("carry: columns lang_pred and score are taken")
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     learn = docs if training is None else docs.filter(training)
     learn = learn.select(F.col(id_col).alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    langs, table = train(learn, sample)
+    langs, table = train(learn, sample, most)
     model = spark.sparkContext.broadcast((langs, table))  # languages x BUCKETS x 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +212,8 @@ def identify_languages(
     # any column names go through the map under numbers
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    fields = [StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
+    schema = StructType([*fields, *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("languages", StringType())))])
     rows = rows.select("*", F.col(names[docs.columns.index(text_col)]).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, languages string")
-    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c not in ("lang_pred", "score")]
-    return out.select(*[F.col(n).alias(c) for n, c in kept], "lang_pred", "score")
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "lang_pred", "score")

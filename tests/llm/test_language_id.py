@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import language_id as li
@@ -36,8 +37,13 @@ def test_mixtures_and_edge_cases(spark):
     assert out[100].lang_pred == "en" and out[100].languages.startswith("en:1.0")
     assert {out[i].lang_pred for i in (101, 102, 104)} == {"und"} and out[101].score == 0
     assert out[103].languages.count(":") == 2 and 0.3 < out[103].score < 0.7
-    carried = li.identify_languages(df, F.col("doc_id") < 100, carry=True)
-    assert carried.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and carried.count() == 47
+    other = df.withColumnRenamed("score", "c1")
+    carried = li.identify_languages(other, F.col("doc_id") < 100, carry=True)
+    assert carried.columns == ["doc_id", "text", "lang", "c1", "lang_pred", "score"]
+    assert [(r.c1, 0 <= r.score <= 1) for r in carried.collect()] == [("s", True)] * 47
+    with pytest.raises(ValueError):  # no column is lost in silence
+        li.identify_languages(df, carry=True)
+    assert {r.lang_pred for r in li.identify_languages(df, F.col("doc_id") < 100, most=1).collect()} == {"de", "und"}
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in li.identify_languages(unlabelled).collect()} == {"und"}
     assert li.identify_languages(df.limit(0)).collect() == []
