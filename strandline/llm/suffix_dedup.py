@@ -48,7 +48,7 @@ from .induced_sort import suffix_array
 
 GRAM = 64
 SHARD = 1 << 20
-HOT = 4096
+HOT = 20_000
 DEPTH = 12
 CHUNK = 8 << 20
 _PLACE = 28  # bits of an order key that hold the position in a chunk
