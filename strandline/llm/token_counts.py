@@ -3,14 +3,19 @@
 The piece model is read from a path.  The normalised text is cut before every
 run of word marks (U+2581, which stands for a space): since no piece of the
 vocabulary has a mark after another character (checked when the model is
-opened), no merge crosses a cut and the counts of the parts add up.  Each batch
-turns its texts into per-document frequencies of pre-tokens, pieces are counted
-once for every pre-token that the worker has not met, and the two are joined
-and summed.  A map over the input: nothing is shuffled.
-
-The frequencies of whole documents are all that is ever held: a batch of about
-2 MB of text and at most ``MEMORY`` remembered pre-tokens (long ones are not
-remembered).  Null is empty and has no tokens.
+opened), no merge crosses a cut and the counts of the parts add up.
+
+1.  The distinct pre-tokens of the table and their frequencies: counted in each
+    task (at most ``MEMORY`` at a time), then one aggregate.
+2.  Each distinct pre-token's pieces are counted once.  Nothing is kept of them
+    but their number.
+3.  Pre-tokens with at least a ``FREQUENT``-th of all occurrences number at most
+    ``FREQUENT``, whatever the table; their counts are broadcast, and each
+    document's frequencies meet them where the document lies.
+4.  A document's other pre-tokens are joined to the counts by a shuffle and
+    summed per document.  None of those keys is frequent, so none is hot.
+
+Null is empty and has no tokens.  Rows that repeat an id count each for itself.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, stored
 
 MEMORY = 200_000
+FREQUENT = 400_000
+#: Bytes of a pre-token that is broadcast; of the ``TOP`` most frequent ones it may be LONG_BYTES.
+SHORT_BYTES, LONG_BYTES, TOP = 64, 16 << 10, 1000
 MARK = "▁"
 _PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -42,8 +50,6 @@ class PieceCounter:
         plain = self.model.encode("  a  b ", out_type=str)
         self.cuts = not crossing and "".join(plain) == MARK + "  a  b ".replace(" ", MARK)
         self.alone = len(self.model.encode("a ")) - len(self.model.encode("a"))
-        self.known: dict[str, int] = {}
-
     @staticmethod
     def parts(text: str) -> list[str]:
         """Pre-tokens, each without the one mark that it begins with."""
@@ -53,23 +59,13 @@ class PieceCounter:
                 return parts
         return [p[1:] for p in _PARTS.findall(MARK + text.replace(" ", MARK))]
 
-    def learn(self, parts: list[str]) -> None:
-        """The model puts the leading mark there itself; a mark alone is one piece."""
-        for part, n in zip(parts, self.model.encode(parts, num_threads=1), strict=True):
-            self.known[part] = len(n) if part else self.alone
-
-    def count_batch(self, texts: list[str | None]) -> list[int]:
-        if not self.cuts:
-            return [len(self.model.encode(t)) if t else 0 for t in texts]
-        frequencies = [Counter(self.parts(t)) if t else Counter() for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        self.learn(sorted(set().union(*frequencies) - known.keys()))
-        out = [sum(n * known[p] for p, n in f.items()) for f in frequencies]
-        for p in [p for p in known if len(p) > 256]:
-            del known[p]
-        return out
+    def pieces(self, parts: list[str]) -> list[int]:
+        """Number of pieces of each pre-token; the model puts the leading mark there itself, a mark alone is one piece."""
+        return [len(n) if part else self.alone for part, n in zip(parts, self.model.encode(parts, num_threads=1), strict=True)]
+
+    def whole(self, text: str | None) -> int:
+        """Tokens of a whole text, for models whose texts cannot be cut."""
+        return len(self.model.encode(text)) if text else 0
 
 
 @lru_cache(maxsize=4)
@@ -82,20 +78,103 @@ def token_counts(
 ) -> DataFrame:
     """Per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
 
+    text = F.col(text_col).cast("string")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        text.alias("text"),
+    )
+    if not PieceCounter(path).cuts:
+        counted = rows.mapInArrow(_whole(path), "doc_id long, n_bytes long, n_tokens long")
+        return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+    seen = rows.select("text").mapInArrow(_frequencies, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    vocabulary = stored(seen.mapInArrow(_piece_counts(path), "part string, n long, pieces long"))
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    size, often = F.octet_length("part"), F.col("n")
+    short = (size <= SHORT_BYTES) & (often * FREQUENT >= total)
+    long = (size <= LONG_BYTES) & (often * TOP >= total)
+    frequent = dict(vocabulary.filter(short | long).select("part", "pieces").collect())  # bounded by the two lines above
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    schema = "doc_id long, n_bytes long, n_tokens long, parts array<string>, times array<int>"
+    met = stored(rows.mapInArrow(_partial_sums(known), schema).withColumn("rid", F.monotonically_increasing_id()))
+    rare = met.select("rid", F.inline(F.arrays_zip("parts", "times"))).toDF("rid", "part", "times")
+    rest = rare.join(vocabulary.select("part", "pieces"), "part").groupBy("rid").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    out = met.filter(F.size("parts") > 0).select("rid", "doc_id", "n_bytes", "n_tokens").join(rest, "rid")
+    out = out.select("doc_id", "n_bytes", (F.col("n_tokens") + F.col("rest")).alias("n_tokens"))
+    out = met.filter(F.size("parts") == 0).select("doc_id", "n_bytes", "n_tokens").unionByName(out)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(path)
         for block in blocks(batches, "text"):
-            counts = pieces.count_batch(block.column("text").to_pylist())
+            counts = [pieces.whole(t) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("n_bytes"), pa.array(counts, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        text.alias("text"),
-    )
-    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens and their number in some of the texts."""
+    counts: Counter = Counter()
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["part", "n"]
+        )
+        counts.clear()
+        return out
+
+    for block in blocks(batches, "text"):
+        for text in block.column("text").to_pylist():
+            if text:
+                counts.update(PieceCounter.parts(text))
+        if len(counts) > MEMORY:
+            yield flushed()
+    yield flushed()
+
+
+def _piece_counts(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = counter(path)
+        for block in blocks(batches, "part"):
+            counts = pieces.pieces(block.column("part").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [block.column("part"), block.column("n"), pa.array(counts, pa.int64())], names=["part", "n", "pieces"]
+            )
+
+    return run
+
+
+def _partial_sums(known):
+    """Per document the tokens of its frequent pre-tokens, and the others with their frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for block in blocks(batches, "text"):
+            sums, at, parts, times = [], [0], [], []
+            for text in block.column("text").to_pylist():
+                own = 0
+                for part, n in Counter(PieceCounter.parts(text)).items() if text else ():
+                    pieces = get(part)
+                    if pieces is None:
+                        parts.append(part)
+                        times.append(n)
+                    else:
+                        own += n * pieces
+                sums.append(own)
+                at.append(len(parts))
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("n_bytes"), pa.array(sums, pa.int64()),
+                 pa.ListArray.from_arrays(at, pa.array(parts, pa.string())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))],
+                names=["doc_id", "n_bytes", "n_tokens", "parts", "times"],
+            )
+
+    return run

@@ -1,10 +1,11 @@
 import hashlib
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from strandline.llm import token_counts as tc
 from strandline.llm.bpe import WordBpe, encode_decode
-from strandline.llm.token_counts import PieceCounter, token_counts
 
 
 def sha(s):
@@ -53,16 +54,31 @@ def test_bpe_operator(spark, tokenizer_path):
     assert encode_decode(empty, tokenizer_path("word_bpe_49k.json")).collect() == []
 
 
-def test_token_counts_equal_the_library(spark, tokenizer_path, odd_texts):
+@pytest.mark.parametrize("frequent", [1, 50, 400_000])
+def test_token_counts_equal_the_library(spark, tokenizer_path, odd_texts, monkeypatch, frequent):
     import sentencepiece
 
+    monkeypatch.setattr(tc, "FREQUENT", frequent)
+    monkeypatch.setattr(tc, "MEMORY", 1000)
     path = tokenizer_path("piece_bpe_32k.model")
-    model, counter = sentencepiece.SentencePieceProcessor(model_file=path), PieceCounter(path)
-    assert counter.cuts
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert tc.PieceCounter(path).cuts
     want = [len(model.encode(t)) if t else 0 for t in odd_texts]
-    assert counter.count_batch(odd_texts) == want
-    df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string").withColumn("n_bytes", F.lit("x"))
-    out = {r.doc_id: r for r in token_counts(df, path, limit=600).collect()}
+    df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string").withColumn("n_bytes", F.lit("x")).withColumn("part", F.lit(1))
+    out = {r.doc_id: r for r in tc.token_counts(df, path, limit=600).collect()}
+    assert len(out) == len(odd_texts)
     for i, (text, n) in enumerate(zip(odd_texts, want, strict=True)):
         assert (out[i].n_bytes, out[i].n_tokens, out[i].over_limit) == (len((text or "").encode()), n, n > 600)
-    assert token_counts(df.limit(0), path).collect() == []
+    assert tc.token_counts(df.limit(0), path).collect() == []
+
+
+def test_token_counts_of_texts_that_cannot_be_cut(spark, tokenizer_path, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    whole = {r.doc_id: r.n_tokens for r in tc.token_counts(spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string"), path).collect()}
+    rows = [(1, "some words here"), (1, "some words here"), (None, "x"), (2, None)]
+    monkeypatch.setattr(tc, "PieceCounter", type("Uncut", (tc.PieceCounter,), {"__init__": lambda self, p: (tc_init(self, p), setattr(self, "cuts", False))[0]}))
+    out = tc.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out)[1:] == [(1, whole[1]), (1, whole[1]), (2, 0)]
+
+
+tc_init = tc.PieceCounter.__init__
