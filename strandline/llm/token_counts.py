@@ -5,16 +5,16 @@ run of word marks (U+2581, which stands for a space): since no piece of the
 vocabulary has a mark after another character (checked when the model is
 opened), no merge crosses a cut and the counts of the parts add up.
 
-1.  The distinct pre-tokens of the table and their frequencies: counted in each
-    task (at most ``MEMORY`` at a time), then one aggregate.
-2.  Each distinct pre-token's pieces are counted once.  Nothing is kept of them
-    but their number.
-3.  Pre-tokens with at least a ``FREQUENT``-th of all occurrences number at most
-    ``FREQUENT``, whatever the table; their counts are broadcast, and each
-    document's frequencies meet them where the document lies.
-4.  A document's other pre-tokens are joined to the counts by a shuffle and
-    summed per document.  None of those keys is frequent, so none is hot.
-
+1.  Each task gives its pre-tokens of at least a ``FREQUENT``-th of its own
+    occurrences; those whose sums reach a ``FREQUENT``-th of the table's number
+    ``FREQUENT`` at most, whatever the table.  Their pieces are counted once and
+    broadcast, and each document's frequencies meet them where it lies.
+2.  A document's other pre-tokens travel with their frequencies to one place for
+    each distinct pre-token, where its pieces are counted once (runs of a sorted
+    partition, so nothing is held), joined to the frequencies, and summed per
+    document.  None of those keys is frequent, so none is hot.
+
+No ids are kept anywhere, only numbers of pieces.
 Null is empty and has no tokens.  Rows that repeat an id count each for itself.
 """
 
@@ -24,15 +24,16 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored
+from .common import blocks, checkpoint, stored
 
-MEMORY = 200_000
-FREQUENT = 400_000
+MEMORY = 500_000
+FREQUENT = 1_000_000
 #: Bytes of a pre-token that is broadcast; of the ``TOP`` most frequent ones it may be LONG_BYTES.
 SHORT_BYTES, LONG_BYTES, TOP = 64, 16 << 10, 1000
 MARK = "▁"
@@ -88,19 +89,20 @@ def token_counts(
         counted = rows.mapInArrow(_whole(path), "doc_id long, n_bytes long, n_tokens long")
         return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
-    seen = rows.select("text").mapInArrow(_frequencies, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    vocabulary = stored(seen.mapInArrow(_piece_counts(path), "part string, n long, pieces long"))
-    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    seen = rows.select("text").mapInArrow(_frequencies, "part string, n long")
+    seen = checkpoint(seen.groupBy("part").agg(F.sum("n").alias("n")))  # the sum over null is that of all occurrences
+    total = F.lit((seen.filter("part is null").agg(F.sum("n")).first()[0] or 0))
     size, often = F.octet_length("part"), F.col("n")
     short = (size <= SHORT_BYTES) & (often * FREQUENT >= total)
     long = (size <= LONG_BYTES) & (often * TOP >= total)
-    frequent = dict(vocabulary.filter(short | long).select("part", "pieces").collect())  # bounded by the two lines above
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    chosen = seen.filter(short | long).select("part").mapInArrow(_piece_counts(path), "part string, pieces long")
+    known = docs.sparkSession.sparkContext.broadcast(dict(chosen.collect()))  # bounded by the two lines above
 
     schema = "doc_id long, n_bytes long, n_tokens long, parts array<string>, times array<int>"
     met = stored(rows.mapInArrow(_partial_sums(known), schema).withColumn("rid", F.monotonically_increasing_id()))
     rare = met.select("rid", F.inline(F.arrays_zip("parts", "times"))).toDF("rid", "part", "times")
-    rest = rare.join(vocabulary.select("part", "pieces"), "part").groupBy("rid").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    rare = rare.repartition("part").sortWithinPartitions("part").mapInArrow(_piece_sums(path), "rid long, rest long")
+    rest = rare.groupBy("rid").agg(F.sum("rest").alias("rest"))
     out = met.filter(F.size("parts") > 0).select("rid", "doc_id", "n_bytes", "n_tokens").join(rest, "rid")
     out = out.select("doc_id", "n_bytes", (F.col("n_tokens") + F.col("rest")).alias("n_tokens"))
     out = met.filter(F.size("parts") == 0).select("doc_id", "n_bytes", "n_tokens").unionByName(out)
@@ -121,23 +123,19 @@ def _whole(path: str):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-tokens and their number in some of the texts."""
+    """Frequent pre-tokens of a task with their number, and under null the number of all."""
     counts: Counter = Counter()
-
-    def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["part", "n"]
-        )
-        counts.clear()
-        return out
-
+    total = 0
     for block in blocks(batches, "text"):
         for text in block.column("text").to_pylist():
             if text:
-                counts.update(PieceCounter.parts(text))
-        if len(counts) > MEMORY:
-            yield flushed()
-    yield flushed()
+                parts = PieceCounter.parts(text)
+                counts.update(parts)
+                total += len(parts)
+        while len(counts) > MEMORY:  # as in a Misra-Gries summary, all give up one
+            counts = Counter({p: n - 1 for p, n in counts.items() if n > 1})
+    often = {p: n for p, n in counts.items() if n * FREQUENT >= total} | {None: total}
+    yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["part", "n"])
 
 
 def _piece_counts(path: str):
@@ -145,9 +143,25 @@ def _piece_counts(path: str):
         pieces = counter(path)
         for block in blocks(batches, "part"):
             counts = pieces.pieces(block.column("part").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [block.column("part"), block.column("n"), pa.array(counts, pa.int64())], names=["part", "n", "pieces"]
-            )
+            yield pa.RecordBatch.from_arrays([block.column("part"), pa.array(counts, pa.int64())], names=["part", "pieces"])
+
+    return run
+
+
+def _piece_sums(path: str):
+    """Pieces times frequency for every row of a partition sorted by pre-token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = counter(path)
+        last, held = None, 0
+        for block in blocks(batches, "part"):
+            runs = block.column("part").dictionary_encode()  # in the order of first sight, so sorted
+            distinct = runs.dictionary.to_pylist()
+            ahead = distinct[0] == last  # a run goes on from the block before
+            counts = ([held] if ahead else []) + pieces.pieces(distinct[ahead:])
+            last, held = distinct[-1], counts[-1]
+            rest = np.array(counts, np.int64)[runs.indices.to_numpy()] * block.column("times").to_numpy()
+            yield pa.RecordBatch.from_arrays([block.column("rid"), pa.array(rest, pa.int64())], names=["rid", "rest"])
 
     return run
 
