@@ -134,10 +134,19 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** i for i < n; tables of up to 4 million are kept."""
+    held = _TABLES.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), np.uint64(base))
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        if n <= 1 << 22:
+            _TABLES[base] = held
+    return held[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

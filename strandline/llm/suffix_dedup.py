@@ -38,7 +38,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +92,7 @@ def _chunk_segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: in
     key = (order >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     anchor = (_sliding_least(key, length - gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     # the end of each start's own value
-    owner = np.searchsorted(offsets, np.arange(len(anchor)), side="right") - 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     first = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[owner + 1])
     if not len(first):
         return none, none, none, none.astype(np.uint64)
@@ -136,71 +135,77 @@ def _anchored(length: int):
     return run
 
 
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Values that lie one after the other in `data`."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.array(at, pa.int32()).buffers()[1], pa.py_buffer(data.tobytes())])
+
+
 def _bytes_of(length: int):
     """Rows (f, g, w, bytes) of the segments listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            out = {k: [] for k in ("f", "g", "w", "bytes")}
-            for text, listed in zip(block.column("text"), block.column("listed").to_pylist(), strict=True):
-                raw = text.as_py().encode()
-                for x in listed:
-                    out["f"].append(x["f"])
-                    out["g"].append(x["g"])
-                    out["w"].append(x["w"])
-                    out["bytes"].append(raw[x["s"] : x["s"] + x["c"] - 1 + length])
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            data, offsets = flat(block.column("text"))
+            listed = block.column("listed")
+            segment = listed.flatten()
+            start = np.repeat(offsets[:-1], listed.value_lengths().to_numpy()) + segment.field("s").to_numpy()
+            size = segment.field("c").to_numpy().astype(np.int64) + length - 1
+            own = _binary(data[_ranges(start, size)], np.append(0, np.cumsum(size)))
+            yield pa.RecordBatch.from_arrays([*(segment.field(c) for c in ("f", "g", "w")), own], names=["f", "g", "w", "bytes"])
 
     return run
 
 
-def repeated_strings(parts: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment, which of its strings are repeated among all of them (by weight or elsewhere)."""
-    sizes = np.array([len(p) for p in parts], np.int64)
+def repeated_runs(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, length: int) -> tuple:
+    """Runs [a, z) of strings that are repeated among all distinct segments (by weight or elsewhere): segment, a, z."""
+    sizes = np.diff(offsets)
     counts = sizes - length + 1
     # segments are parted by symbol 1, ended by 0; bytes stand above
-    text = np.ones(int(sizes.sum()) + len(parts) + 1, np.uint16)
+    text = np.ones(int(sizes.sum()) + len(sizes) + 1, np.uint16)
     text[-1] = 0
     starts = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(text), bool)
     inside[starts + sizes] = inside[-1] = False
-    text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint16) + 2
+    text[inside] = data.astype(np.uint16) + 2
     order, lcp = suffix_array(text, 258, cap=length)
-    owner = np.zeros(len(text), bool)
     edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + counts, -1)
-    owner = np.cumsum(edge[:-1]) > 0
-    held = np.flatnonzero(owner[order])
-    found = np.zeros(len(text), bool)
+    edge[starts] += 1
+    edge[starts + counts] -= 1
+    held = np.flatnonzero(np.cumsum(edge[:-1])[order] > 0)  # places of the strings that segments own
+    found = np.zeros(len(text) + 1, bool)
     if len(held):
         # prefix shared with the owned string before: the least on the way there
         shared = np.minimum.reduceat(lcp[: held[-1] + 1], np.append(0, held[:-1] + 1))
         near = shared >= length
         near[0] = False
         found[order[held]] = near | np.append(near[1:], False)
-    out = []
-    for a, n, w in zip(starts.tolist(), counts.tolist(), weights.tolist(), strict=True):
-        out.append(np.ones(n, bool) if w > 1 else found[a : a + n])
-    return out
+    heavy = np.flatnonzero(weights > 1)
+    found[_ranges(starts[heavy], counts[heavy])] = True
+    # a segment's last bytes own no string, so runs end inside their segment
+    change = np.flatnonzero(found[1:] != found[:-1]) + 1
+    if found[0]:
+        change = np.append(0, change)
+    a, z = change[::2], change[1::2]
+    segment = np.searchsorted(starts, a, side="right") - 1
+    return segment, a - starts[segment], z - starts[segment]
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of so many numbers from each start."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def _shard(length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["f", "g"])
-        flags = repeated_strings(pdf["bytes"].tolist(), pdf["w"].to_numpy(), length)
-        runs = [_runs(x) for x in flags]
-        out = pd.DataFrame({
-            "f": pdf["f"].to_numpy(), "g": pdf["g"].to_numpy(),
-            "a": [[a for a, _ in r] for r in runs], "z": [[z for _, z in r] for r in runs],
-        })
-        return out[[bool(r) for r in runs]]
+    def run(table: pa.Table) -> pa.Table:
+        again = table.select(["f", "g"]).to_pandas().duplicated().to_numpy()
+        table = table.filter(pa.array(~again)).combine_chunks()
+        data, offsets = flat(table.column("bytes"))
+        segment, a, z = repeated_runs(data, offsets, table.column("w").to_numpy(), length)
+        new = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else segment
+        at = np.append(new, len(segment))
+        held = table.select(["f", "g"]).take(pa.array(segment[new]))
+        return held.append_column("a", _lists(at, a, pa.int32())).append_column("z", _lists(at, z, pa.int32()))
 
     return run
 
@@ -266,7 +271,7 @@ def _solve(parts: DataFrame, length: int, depth: int = 0) -> DataFrame:
     total = cool.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("f"), F.lit(max(1, -(-total // SHARD)))).alias("shard")
     dealt = cool.select("f", "g", "w", "bytes", shard).groupBy("shard")
-    solved = dealt.applyInPandas(_shard(length), _SOLVED)
+    solved = dealt.applyInArrow(_shard(length), _SOLVED)
     if not any_hot:
         return solved
     crowded = parts.join(hot, "f", "left_semi")
@@ -291,22 +296,24 @@ def _kept(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            removed, spans, kept = [], [], []
-            for text, found in zip(block.column("text"), block.column("found").to_pylist(), strict=True):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for x in found:
-                    for a, z in zip(x["a"], x["z"], strict=True):
-                        edge[x["s"] + a] += 1
-                        edge[x["s"] + z - 1 + length] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(len(_runs(gone)))
-                kept.append(raw[~gone].tobytes())
+            data, offsets = flat(block.column("text"))
+            found = block.column("found")
+            segment = found.flatten()
+            base = np.repeat(offsets[:-1], found.value_lengths().to_numpy()) + segment.field("s").to_numpy()
+            base = np.repeat(base, segment.field("a").value_lengths().to_numpy())
+            a, z = (segment.field(c).flatten().to_numpy() for c in ("a", "z"))
+            edge = np.bincount(base + a, minlength=len(data) + 1) - np.bincount(base + z - 1 + length, minlength=len(data) + 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            first = gone & ~np.append(False, gone[:-1])
+            inner = offsets[:-1][offsets[:-1] < len(data)]
+            first[inner] = gone[inner]  # runs do not go on from one text into the next
+            before = lambda flags: np.append(0, np.cumsum(flags))[offsets]
+            removed = before(gone)
+            kept = _binary(data[~gone], offsets - removed)
             yield pa.RecordBatch.from_arrays(
-                [block.column("id"), block.column("th"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                [block.column("id"), block.column("th"), pa.array(np.diff(removed)), pa.array(np.diff(before(first))), kept],
                 names=["id", "th", "n_removed", "n_spans", "kept"],
-            )
+            )
 
     return run
 

@@ -29,6 +29,16 @@ def brute(texts, length):
     return out
 
 
+def repeated(parts, length):
+    """For each distinct segment, which of its strings are repeated."""
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    out = [np.zeros(len(p) - length + 1, bool) for p in parts]
+    for i, a, z in zip(*sd.repeated_runs(data, offsets, np.ones(len(parts), np.int64), length), strict=True):
+        assert a < z and not out[i][a:z].any()
+        out[i][a:z] = True
+    return out
+
+
 def run(spark, texts, length):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sd.suffix_dedup(df, length).orderBy("doc_id").collect()
@@ -85,7 +95,7 @@ def test_greatest_owned_string_with_unowned_suffixes_after_it(spark):
         parts = list({bytes(rng.choices(b"abz", k=rng.randint(length, 2 * length - 1))) for _ in range(rng.randint(1, 6))})
         strings = [[p[i : i + length] for i in range(len(p) - length + 1)] for p in parts]
         every = sum(strings, [])
-        found = sd.repeated_strings(parts, np.ones(len(parts), np.int64), length)
+        found = repeated(parts, length)
         assert [f.tolist() for f in found] == [[every.count(x) > 1 for x in own] for own in strings]
 
 
@@ -142,5 +152,5 @@ def test_a_shard_of_production_size_waits_on_disk(monkeypatch):
     rng = random.Random(6)
     parts = list({bytes(rng.choices(b"abcdefghijkl ", k=350)) for _ in range(sd.SHARD // 350)})
     twice = parts[0][:250] + bytes(rng.choices(b"xyz", k=100))
-    found = sd.repeated_strings([*parts, twice], np.ones(len(parts) + 1, np.int64), 200)
+    found = repeated([*parts, twice], 200)
     assert spilled and [f.sum() for f in found if f.any()] == [51, 51]
