@@ -8,6 +8,7 @@ compares every window with every query, so it shares no seeding logic.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from .functions.headers import metadata
 from .operators import best, kmers, positional, results, search
 from .plans.engine import materialise
-from .plans.planner import auto_k, with_guarantee
+from .plans.planner import auto_k, clamp_k, with_guarantee
 from .recall import recall_percent, scan_hits
+from .sources.index import ProteinIndex
 
 
 
@@ -97,9 +99,16 @@ def exact_seed_voting(spark, sf_dir):
 
 
 def exact_from_index(spark, sf_dir):
-    """The form that reads a k-mer table instead of the sequences."""
-    p = proteins(spark, sf_dir)
-    return _plain(search.exact_hits(p, queries_12(spark, sf_dir), 8, index=kmers.kmers(p, 8)))
+    """FASTA written and read, its index stored and read back, and the search made from the stored k-mer table."""
+    materialise(spark.range(1))  # makes sure that the shared folder is set
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    records = proteins(spark, sf_dir).filter("sequence != ''").orderBy("protein_num")
+    records.select(F.concat_ws("\n", F.concat(F.lit(">"), "protein_num"), "sequence")).write.text(f"{folder}/proteome.fasta")
+    index = ProteinIndex(spark, f"{folder}/proteome.fasta", folder)
+    index.build(8)
+    hits = search.exact_hits(index.proteins, queries_12(spark, sf_dir), 8, index=index.kmers(8))
+    names = index.proteins.select("protein_num", F.col("header").cast("long").alias("doc_id"))
+    return _plain(hits.join(names, "protein_num").drop("protein_num").withColumnRenamed("doc_id", "protein_num"))
 
 
 def _hamming(k, budget):
@@ -203,9 +212,14 @@ def _best(explicit_k=None):
 
 
 def auto_k_of_batch(spark, sf_dir):
-    sizes = queries_12(spark, sf_dir).agg(F.min(F.length("query_seq")).alias("shortest"))
-    pick = lambda m: F.greatest(F.lit(2), F.floor(F.col("shortest") / (m + 1))).cast("long").alias(f"k_{m}")
-    return sizes.select(*[pick(m) for m in range(4)])
+    shortest = search.QueryStats.of(queries_12(spark, sf_dir)).shortest
+    return spark.range(1).select(*[F.lit(auto_k(shortest, m)).cast("long").alias(f"k_{m}") for m in range(4)])
+
+
+def clamped_k(spark, sf_dir):
+    """A requested k of 5, as the planner takes it for each number of edits."""
+    shortest = search.QueryStats.of(queries_12(spark, sf_dir)).shortest
+    return spark.range(1).select(*[F.lit(clamp_k(5, auto_k(shortest, m))).cast("long").alias(f"k_{m}") for m in range(4)])
 
 
 def recall_guaranteed(spark, sf_dir):
@@ -231,6 +245,10 @@ def brute_force_scan(spark, sf_dir):
     return _plain(scan_hits(proteins(spark, sf_dir), queries_12(spark, sf_dir), 0))
 
 
+def brute_force_scan_m2(spark, sf_dir):
+    return _plain(scan_hits(proteins(spark, sf_dir), queries_12(spark, sf_dir), 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "exact_match": exact_match,
@@ -238,6 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exact_seed_voting": exact_seed_voting,
         "exact_from_index": exact_from_index,
         "brute_force_scan": brute_force_scan,
+        "brute_force_scan_m2": brute_force_scan_m2,
         "kmer_counts": kmer_counts,
         "kmer_postings": kmer_postings,
         "hamming_m1": _hamming(6, 1),
@@ -262,6 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_match": _best(),
         "best_match_explicit_k": _best(4),
         "auto_k": auto_k_of_batch,
+        "clamped_k": clamped_k,
         "recall_guaranteed": recall_guaranteed,
         "recall_metric": recall_metric,
         "query_split": query_split,
@@ -383,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_seed_voting": _EXACT,
         "exact_from_index": _EXACT,
         "brute_force_scan": _EXACT,
+        "brute_force_scan_m2": _hamming_sql(2),
         "kmer_counts": f"with {_P}{_windows(5)} select kmer, count(*) as n from ({k5}) group by 1",
         "kmer_postings": f"""with {_P}{_windows(6)} select kmer, count(*) as n, min(protein_num) as first_protein,
             cast(arg_min(start, protein_num * 1000000000 + start) as bigint) as first_pos, max(protein_num) as last_protein,
@@ -410,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "best_match": _best_sql("hamming(w, query_seq) <= 5"),
         "best_match_explicit_k": _best_sql("hamming(w, query_seq) <= 2"),
         "auto_k": f"with {_P}{_Q} select " + ", ".join(f"cast(greatest(2, min(length(query_seq)) // {m + 1}) as bigint) as k_{m}" for m in range(4)) + " from q",
+        "clamped_k": f"with {_P}{_Q} select " + ", ".join(f"cast(least(5, greatest(2, min(length(query_seq)) // {m + 1})) as bigint) as k_{m}" for m in range(4)) + " from q",
         "recall_guaranteed": f"with {_P}{_Q} select query_id, length(query_seq) >= 15 as recall_guaranteed from q",
         "recall_metric": f"""with want as ({_hamming_sql(2)}), got as ({_hamming_sql(2, tiles_6)})
             select count(*) as expected, cast(sum(cast(g.ordinal is not null as int)) as bigint) as found, least(100.0 * sum(cast(g.ordinal is not null as int)) / count(*), 100.0) as recall

@@ -23,12 +23,13 @@ _COUNTS = ["query_id as `Query ID`", "query_seq as `Query Sequence`", "mismatche
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (a folder of our own only where none is configured)."""
+    """Checkpoint in the cluster's shared folder; only a local session without one gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-        )
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,7 +38,8 @@ class Search:
 
     `query`: list, .txt, FASTA path or DataFrame (query_id, query_seq).
     `proteome_file`: FASTA path.  `use_index` stores and reuses k-mer tables in
-    `preprocessed_files_path`; without it the sequences are scanned.
+    `preprocessed_files_path`; without it the sequences are scanned.  `ordered`
+    sorts the whole result by query and place; large results do without.
     """
 
     def __init__(
@@ -55,12 +57,14 @@ class Search:
         counts_only: bool = False,
         proteome_name: str = "",
         use_index: bool = True,
+        ordered: bool = True,
         spark: SparkSession | None = None,
     ):
         self.request = Request(max_mismatches, max_indels, k, best_match, output_format, counts_only)
         self.spark = spark or session()
         self.proteome_file, self.folder, self.proteome_name = str(proteome_file), preprocessed_files_path, proteome_name
         self.output_name, self.sequence_version, self.use_index = output_name or DEFAULT_NAME, sequence_version, use_index
+        self.ordered = ordered
         queries = read_queries(self.spark, query)
         flagged = is_discontinuous(F.col("query_seq"))
         self.linear, self.epitopes = queries.filter(~flagged), parse(queries)
@@ -75,13 +79,13 @@ class Search:
         if not self.use_index:
             return None
         if not self.index.has(k):
-            print(f"Building the {k}-mer table of {self.index.name}...")
+            print(f"{self.index.name}: writing {k}-mers")
         return self.index.kmers(k)
 
     def _mismatch_hits(self, k: int, budget: int) -> DataFrame:
         if budget == 0 and not self.request.k:
             k = min(k, LONGEST_EXACT_SEED, max(1, self.stats.shortest))
-        print(f"Searching {self.stats.n} peptides against {self.index.name} (k={k}, max_mismatches={budget})...")
+        print(f"{self.index.name}: {self.stats.n} queries, substitutions (k={k}, at most {budget})")
         return mismatch_hits(self.index.proteins, self.linear, k, budget, self.stats, self._index(k) if k > 1 else None)
 
     def _indel_rows(self) -> DataFrame:
@@ -94,13 +98,13 @@ class Search:
             if stats.n:
                 k = clamp_k(self.request.k, 2 if short else auto_k(stats.shortest, n))
                 warn_recall(group, k, n)
-                print(f"Searching {stats.n} peptides against {self.index.name} (k={k}, max_indels={n})...")
+                print(f"{self.index.name}: {stats.n} queries, insertions or deletions (k={k}, at most {n})")
                 out.append(indel_rows(group, indel_hits(self.index.proteins, group, k, n, stats, self._index(k))))
         return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
     def rows(self) -> DataFrame:
         """The result as a Spark DataFrame, before any conversion."""
-        self.index = ProteinIndex(self.spark, self.proteome_file, self.folder, self.proteome_name)
+        self.index = ProteinIndex(self.spark, self.proteome_file, self.folder, self.proteome_name, self.use_index)
         request = self.request
         budget = request.max_mismatches
         if request.counts_only:
@@ -129,7 +133,8 @@ class Search:
             hits = positional_hits(self.index.proteins, self.epitopes, budget)
             parts.append(describe(positional_rows(self.epitopes, hits)))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        rows = rows.orderBy("ordinal", "protein_num", "index_start")
+        if self.ordered:
+            rows = rows.orderBy("ordinal", "protein_num", "index_start")
         return finished(rows, self.sequence_version, request.max_indels > 0)
 
     def match(self):

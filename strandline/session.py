@@ -29,9 +29,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    context = df.sparkSession.sparkContext
-    cores = context.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # the planner's estimate, which runs no job: tables that fill a split for every core come in that many
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * split else df.repartition(cores, *keys)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 200) -> DataFrame:

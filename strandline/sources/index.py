@@ -29,9 +29,9 @@ def fingerprint(proteins: DataFrame) -> str:
 
 
 class ProteinIndex:
-    """Tables of one proteome; built where missing."""
+    """Tables of one proteome; built where missing.  Without `store` nothing is read ahead or written."""
 
-    def __init__(self, spark: SparkSession, proteome: str, folder: str = ".", name: str = ""):
+    def __init__(self, spark: SparkSession, proteome: str, folder: str = ".", name: str = "", store: bool = True):
         if os.path.exists(str(proteome)) and "://" not in str(folder):
             folder = os.path.abspath(folder)
         proteome = resolved(proteome)
@@ -39,7 +39,10 @@ class ProteinIndex:
             raise FileNotFoundError(f"Proteome file not found: {proteome}")
         self.spark, self.name = spark, name or Path(str(proteome)).stem
         source = read_fasta(spark, str(proteome))
-        self.root = f"{str(folder).rstrip('/')}/{self.name}.index/{fingerprint(source)}"
+        self.root = f"{str(folder).rstrip('/')}/{self.name}.index/{fingerprint(source)}" if store else None
+        if not store:
+            self.proteins, self.metadata = source, metadata(source)
+            return
         if not self._complete("proteins"):
             source.write.mode("overwrite").parquet(f"{self.root}/proteins")
         self.proteins = spark.read.parquet(f"{self.root}/proteins")
@@ -58,7 +61,8 @@ class ProteinIndex:
         if k < 2:
             raise ValueError("k must be >= 2.")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = kmers(self.proteins, k).repartitionByRange(parts, "kmer").sortWithinPartitions("kmer", "protein_num", "pos")
+        order = ["kmer", "protein_num", "pos"]  # all three bound the ranges, so a k-mer of any frequency is split
+        rows = kmers(self.proteins, k).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(f"{self.root}/kmers/k={k}")
 
     def kmers(self, k: int) -> DataFrame:

@@ -218,7 +218,7 @@ def test_arguments_and_warnings(spark, tmp_path, capsys):
     path = write_fasta(tmp_path / "p.fasta", [("P", "ZZABCDEFGHIKLMZZ")])
     bad = lambda message, *a, **b: pytest.raises(ValueError, match=message)
     for message, kw in [
-        ("k must be", dict(k=1)), ("max_indels > 2", dict(max_indels=3)), ("mutually", dict(max_indels=1, max_mismatches=1)),
+        ("k must be", dict(k=1)), ("max_indels", dict(max_indels=3)), ("mutually", dict(max_indels=1, max_mismatches=1)),
         ("best_match", dict(max_indels=1, best_match=True)), ("counts_only", dict(max_indels=1, counts_only=True)),
         ("Invalid output", dict(output_format="parquet")), ("counts_only", dict(counts_only=True, best_match=True)),
         ("cannot exceed", dict(k=9)),
