@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-MEMORY = 250_000
+MEMORY = 150_000
 LONG = 256
 
 

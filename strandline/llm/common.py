@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into arrays at a time (a single longer text goes alone).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: ASCII white space: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
