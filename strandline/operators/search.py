@@ -122,12 +122,12 @@ def _splits(budget: int) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in table])
 
 
-def _side(a: Column, b: Column, last: bool) -> Column:
+def _side(a: Column, b: Column, last: bool, budget: int) -> Column:
     """Whether b comes from a by edits of one kind that spare the outer residue."""
     n, m = F.octet_length(a), F.octet_length(b)
     outer = F.substring(a, n, F.lit(1)) == F.substring(b, m, F.lit(1)) if last else part(a, 0, 1) == part(b, 0, 1)
     edited = (n > 0) & (m > 0) & (n != m) & outer
-    return (a == b) | (edited & F.when(n < m, is_subsequence(a, b)).otherwise(is_subsequence(b, a)))
+    return (a == b) | (edited & F.when(n < m, is_subsequence(a, b, budget)).otherwise(is_subsequence(b, a, budget)))
 
 
 def indel_hits(
@@ -151,8 +151,8 @@ def indel_hits(
         & (part(F.col("seq"), F.col("stop") - 1, 1) == F.substring("q", F.col("len"), F.lit(1)))
     )
     cut = lambda s, a, z: F.substring(F.col(s), a + 1, z - a)
-    ok = _side(cut("q", F.lit(0), F.col("at")), cut("seq", F.col("start"), F.col("pos")), False) & _side(
-        cut("q", F.col("at") + k, F.col("len")), cut("seq", F.col("pos") + k, F.col("stop")), True
+    ok = _side(cut("q", F.lit(0), F.col("at")), cut("seq", F.col("start"), F.col("pos")), False, budget) & _side(
+        cut("q", F.col("at") + k, F.col("len")), cut("seq", F.col("pos") + k, F.col("stop")), True, budget
     )
     found = found.filter(ok).withColumn("w", cut("seq", F.col("start"), F.col("stop")))
     edits = F.abs(F.octet_length("w") - F.col("len"))

@@ -113,6 +113,18 @@ def test_indels_equal_the_closed_form(spark, seed, n):
     assert got == brute_indel(seqs, queries, n)
 
 
+def test_indel_candidates_are_tested_in_generated_code(spark):
+    """A filter outside it would hold, for each candidate of a sequence, a copy of the whole sequence."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = search.indel_hits(proteins(spark, ["ACDEFGHIKL"]), read_queries(spark, ["ACDEFGHI"]), 2, 2)
+        plan = hits._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    filters = [line for line in plan if "Filter (" in line]
+    assert filters and all("*(" in line for line in filters), filters
+
+
 def test_positional_rules(spark):
     seqs = ["NQALLKMWY", "NQA", "NAALLKMWY"]
     q = parse(read_queries(spark, ["N1, A3, L5", "l5, n1", "A3, W8, Q2", "N1, N01", "PEPTIDE"]))
