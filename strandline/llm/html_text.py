@@ -19,8 +19,10 @@
 4.  A line stays if its votes add up to more than 0; if they cancel out,
     structure decides, as pages share sentences of their articles and differ in
     their menus and adverts.  So differencing settles the lines of which the
-    structure says nothing; a page without such lines is a neighbour to others
-    but needs no alignment of its own, and its text does not move.
+    structure says nothing.  Every page is aligned, and every line gets both votes.
+5.  The pages are read again, and only lines that may stay travel, once, to the
+    decisions.  Rows that repeat page, url and html lie side by side in the
+    order, so they have one decision.
 
 Null html or url count as empty; a page without text has text '' and n_chars 0.
 Repeated rows each give a row.
@@ -283,31 +285,41 @@ def structure_votes(kinds: list[int]) -> list[int]:
     return [(outside, 1, -1)[k] for k in kinds]
 
 
-_ORDER = ["host", "path", "page_id", "rid"]
+_ORDER = ["host", "path", "page_id", "th", "rid"]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every page its place in the order, the hashes of its lines and the votes of its structure."""
     import xxhash
 
     for block in blocks(batches, "html"):
-        out = {k: [] for k in ("host", "path", "text", "lines", "votes", "hashes")}
+        out = {k: [] for k in ("host", "path", "votes", "hashes")}
         for url, html in zip(block.column("url").to_pylist(), block.column("html").to_pylist(), strict=True):
             lines, kinds = page_lines(html)
             hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in lines]
-            votes = structure_votes(kinds)
-            if 0 in votes:
-                values = (*url_key(url), None, lines, votes, hashes)
-            else:
-                values = (*url_key(url), "\n".join(t for t, v in zip(lines, votes, strict=True) if v > 0), None, None, hashes)
-            for k, v in zip(out, values, strict=True):
+            for k, v in zip(out, (*url_key(url), structure_votes(kinds), hashes), strict=True):
                 out[k].append(v)
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64()))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()))
         columns = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([block.column("page_id"), block.column("url"), *columns], names=["page_id", "url", *out])
+        yield pa.RecordBatch.from_arrays([block.column("page_id"), block.column("th"), *columns], names=["page_id", "th", *out])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that may stay, and their numbers: a vote of -1 leaves a line 0 at most, and then structure decides."""
+    for block in blocks(batches, "html"):
+        numbers, lines = [], []
+        for html in block.column("html").to_pylist():
+            texts, kinds = page_lines(html)
+            may = [i for i, v in enumerate(structure_votes(kinds)) if v >= 0]
+            numbers.append(may)
+            lines.append([texts[i] for i in may])
+        columns = [pa.array(numbers, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.string()))]
+        names = ["page_id", "url", "th"]
+        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), *columns], names=[*names, "at", "lines"])
 
 
 def _sorted_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(partition, row or None if it is settled, page) of a sorted partition."""
+    """(partition, row, page) of a sorted partition."""
     for batch in batches:
         for pid, rid, *page in zip(*(batch.column(c).to_pylist() for c in ("pid", "open", "host", "path", "hashes")), strict=True):
             yield pid, rid, tuple(page)
@@ -376,8 +388,7 @@ def _differ(edges: dict):
                 if held:
                     yield from done(page)
                 before, first = last, page
-            if rid is not None:
-                held.append(rid)
+            held.append(rid)
             last = page
         if held:
             after = edges["after"].get(pid)
@@ -397,11 +408,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.col(url_col).cast("string").alias("url"),
         F.col(html_col).cast("string").alias("html"),
     )
-    schema = "page_id long, url string, host string, path string, text string, lines array<string>, votes array<tinyint>, hashes array<long>"
-    cut = stored(rows.mapInArrow(_cut, schema).withColumn("rid", F.monotonically_increasing_id()))
+    # with the id it tells rows apart that differ in anything
+    known = F.xxhash64(F.coalesce("url", F.lit("")), F.lit(0), F.coalesce("html", F.lit("")))
+    rows = rows.withColumn("th", known)
+    cut = rows.mapInArrow(_cut, "page_id long, th long, host string, path string, votes array<tinyint>, hashes array<long>")
+    cut = stored(cut.withColumn("rid", F.monotonically_increasing_id()))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        cut.select(*_ORDER, F.when(F.col("text").isNull(), F.col("rid")).alias("open"), "hashes")
+        cut.select(*_ORDER, F.col("rid").alias("open"), "hashes")
         .repartitionByRange(parts, *_ORDER)
         .sortWithinPartitions(*_ORDER)
         .withColumn("pid", F.spark_partition_id())
@@ -411,9 +425,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     for r in ordered.mapInArrow(_ends, "pid int, k int, host string, path string, hashes array<long>").collect():
         ends.setdefault(r["pid"], {})[r["k"]] = (r["host"], r["path"], list(r["hashes"]))
     shared = ordered.mapInArrow(_differ(_edges(ends)), "rid long, shared array<boolean>")
-    settled = cut.filter("text is not null").select("page_id", "url", "text")
-    each = cut.filter("text is null").select("rid", "page_id", "url", "lines", "votes").join(shared, "rid")
+    each = cut.select("rid", "page_id", "th", "votes").join(shared, "rid")
     own = F.transform("votes", lambda v, i: v + F.when(F.get("shared", i), -1).otherwise(1))
-    stays = lambda _, i: (F.get("own", i) > 0) | ((F.get("own", i) == 0) & (F.get("votes", i) > 0))
-    each = each.withColumn("own", own).withColumn("text", F.array_join(F.filter("lines", stays), "\n"))
-    return settled.unionByName(each.select("page_id", "url", "text")).withColumn("n_chars", F.length("text").cast("long"))
+    stays = lambda v, i: (v > 0) | ((v == 0) & (F.get("votes", i) > 0))
+    each = each.withColumn("own", own).select(F.col("page_id").alias("id"), F.col("th").alias("tw"), F.transform("own", stays).alias("stays"))
+    each = checkpoint(each.groupBy("id", "tw").agg(F.first("stays").alias("stays")))  # a hot key's rows can then be split
+    texts = rows.mapInArrow(_texts, "page_id long, url string, th long, at array<int>, lines array<string>")
+    texts = texts.join(each.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("tw")))
+    lines = F.filter("lines", lambda _, i: F.get("stays", F.get("at", i)))
+    return texts.select("page_id", "url", F.array_join(lines, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

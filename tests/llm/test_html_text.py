@@ -190,3 +190,26 @@ def test_very_long_page(spark):
     out = {r.page_id: r for r in ht.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1].text.count("\n") == 59_999 and out[1].text.startswith("line 0 & more\nline 1 ")
     assert out[2].n_chars == 400_000 * 5 - 1
+
+
+def test_pages_that_declare_their_body_are_aligned_too():
+    import pyarrow as pa
+
+    html = "<nav>m</nav><article><p>a</p><p>b</p></article>"
+    batch = pa.RecordBatch.from_pylist([{"page_id": 1, "url": "http://h.org/1", "html": html, "th": 7}])
+    (row,) = (r for b in ht._cut(iter([batch])) for r in b.to_pylist())
+    assert row["votes"] == [-1, 1, 1] and len(row["hashes"]) == 3 and "text" not in row
+
+
+def test_repeated_rows_have_one_text_however_they_are_dealt(spark):
+    top, end = ["Site name", "Home"], ["About us"]
+    html = {k: page([*top, f"story {k}", *more, *end]) for k, more in (("a", ["x"]), ("b", ["x"]), ("c", []))}
+    rows = [(i % 2, "http://h.org/p", html[k]) for i, k in enumerate("abcabcabcaabbcc")] + [(None, None, html["a"])] * 3
+    want = None
+    for n in (1, 4, 15):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        out = ht.extract_pages(df).collect()
+        texts = {(r.page_id, r.url, r.text) for r in out}
+        assert len(out) == len(rows) and (want is None or texts == want)
+        want = texts
+    assert len(want) <= 7
